@@ -107,20 +107,19 @@ def encode_attributes(
     """Paths and values replaced by ids; one row per value, repeats kept.
 
     A value shared by very many rows (every transaction has `tm.event = 'Tx'`) is
-    spread over several tasks. Paths are joined last and without a hint: they
-    are few, and the optimizer sees how few at run time.
+    spread over several tasks. Paths are joined without a hint: their dictionary
+    is small as a rule, which the optimizer sees, and else it splits the
+    partitions of frequent paths.
     """
     hashed = attrs.where("value IS NOT NULL").select(
         *keep, F.col("path").alias("path_text"), V.value_fingerprint("value").alias("value_hash")
     )
+    with_path = hashed.join(paths.select("path_id", "path_text"), "path_text")
     with_value = join_spreading_hot_keys(
-        hashed, values.select("value_id", "value_hash"), "value_hash", ["tx_id", "path_text"]
-    )
-    with_path = join_spreading_hot_keys(
-        with_value.drop("value_hash"), paths.select("path_id", "path_text"), "path_text", ["tx_id", "value_id"]
+        with_path.drop("path_text"), values.select("value_id", "value_hash"), "value_hash", ["tx_id", "path_id"]
     )
     tail = [c for c in keep if c != "tx_id"]
-    return with_path.select("tx_id", "path_id", "value_id", *tail)
+    return with_value.select("tx_id", "path_id", "value_id", *tail)
 
 
 def decode_facts(facts: DataFrame, paths: DataFrame, values: DataFrame) -> DataFrame:
@@ -131,8 +130,7 @@ def decode_facts(facts: DataFrame, paths: DataFrame, values: DataFrame) -> DataF
         "value_id",
         ["tx_id", "path_id"],
     )
-    with_path = join_spreading_hot_keys(with_value, paths, "path_id", ["tx_id", "value_id"])
-    return with_path.select(
+    return with_value.join(paths, "path_id").select(
         "tx_id",
         F.col("path_text").alias("path"),
         V.restore_value("value_text", "value_bytes").alias("value"),

@@ -2,31 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are
-# fewer than HOT_SHARE hot keys whatever the data.
-HOT_SHARE = 1000
-SALTS = 64
+# A key is hot from this many rows on: more than one task should hold.
+HOT_ROWS = 1_000_000
+# Only so many are looked at; any other key has less than 1/HOT_KEYS of the rows.
+HOT_KEYS = 1000
+MAX_SALTS = 4096
 
 # What may be sent to every executor.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Count rows and bytes of a table that is expected to be small."""
+def fits_broadcast(df: DataFrame, *also: Column):
+    """Whether a table measures small, by rows and bytes.
+
+    With `also`, aggregates, their values come with the answer from the same pass.
+    """
     size = F.octet_length(F.to_json(F.struct("*")))
-    rows, total = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    return rows <= BROADCAST_ROWS and total <= BROADCAST_BYTES
+    rows, total, *rest = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)), *also).first()
+    small = rows <= BROADCAST_ROWS and total <= BROADCAST_BYTES
+    return (small, *rest) if also else small
 
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """The keys that hold more than 1/HOT_SHARE of the rows: at most HOT_SHARE."""
-    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.where(F.col("_n") * HOT_SHARE > total).select(key)
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> dict:
+    """The most frequent keys with their row counts, at most HOT_KEYS of them.
+
+    One pass over the key column; repeats are counted before the shuffle.
+    """
+    counts = df.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
+    top = counts.where(F.col("n") >= hot_rows).orderBy(F.desc("n")).limit(HOT_KEYS)
+    return {row.k: row.n for row in top.collect() if row.k is not None}
 
 
 def join_spreading_hot_keys(
@@ -35,20 +43,21 @@ def join_spreading_hot_keys(
     key: str,
     spread_by: list[str],
     how: str = "inner",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """`left.join(right, key, how)` with each hot key spread over SALTS tasks.
+    """`left.join(right, key, how)` with the rows of hot keys spread over tasks.
 
-    Only the `right` rows of hot keys are repeated. `spread_by` are left columns
-    that tell the rows of one key apart. `how` is inner, left or left_semi.
+    `spread_by` are left columns that tell the rows of one key apart; only the
+    `right` rows of hot keys are repeated. `how` is inner, left, left_semi or left_anti.
+    Which keys are hot changes the speed and never the result.
     """
-    hot = F.broadcast(hot_keys(left, key).withColumn("_hot", F.lit(True)))
-    hashed = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
-    spread = left.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), hashed).otherwise(F.lit(0))
-    )
-    every = F.array(*[F.lit(i) for i in range(SALTS)])
-    repeated = right.join(hot, key, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
-    )
-    joined = spread.drop("_hot").join(repeated.drop("_hot"), [key, "_salt"], how)
-    return joined.drop("_salt")
+    hot = hot_keys(left, key, hot_rows)
+    if not hot:
+        return left.join(right, key, how)
+    salts = min(MAX_SALTS, max(2, -(-max(hot.values()) // hot_rows)))
+    is_hot = F.coalesce(F.col(key).isin(list(hot)), F.lit(False))
+    salt: Column = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    spread = left.withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0)))
+    every = F.sequence(F.lit(0), F.when(is_hot, F.lit(salts - 1)).otherwise(F.lit(0)))
+    repeated = right.withColumn("_salt", F.explode(every))
+    return spread.join(repeated, [key, "_salt"], how).drop("_salt")

@@ -110,11 +110,8 @@ def index_batch(spark: SparkSession, root: str, rows: DataFrame, batch_id: int)
     exploded = explode_attributes(tx, ("tx_id", "height", "ts"))
     # Whole paths lie together, split further by transaction where a path is
     # frequent; inside a file the quantities are in order.
-    clustered = (
-        index_attributes(exploded)
-        .repartitionByRange("path", "tx_id")
-        .sortWithinPartitions("path", "unit", "qty_key")
-    )
+    clustered = index_attributes(exploded.repartitionByRange("path", "tx_id"))
+    clustered = clustered.sortWithinPartitions("path", "unit", "qty_key")
     _write(clustered, root, "attrs", batch_id)
     attrs = written("attrs")
 
