@@ -28,7 +28,7 @@ def _fingerprint(text: str) -> Column:
 
 
 def attr_exists(path: str) -> Column:
-    return on_path(path) & F.col("value").isNotNull()
+    return on_path(path)
 
 
 def attr_eq(path: str, text: str | int) -> Column:

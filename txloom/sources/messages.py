@@ -32,23 +32,28 @@ def stream_kafka(spark: SparkSession, servers: str, topic: str, **options: str)
 
 
 def decode_messages(raw: DataFrame) -> DataFrame:
-    """Raw text with its parsed `result` and `error`."""
-    message = F.from_json("value", MESSAGE_DDL)
-    return raw.withColumn("_m", message).select(
-        "*", F.col("_m.result").alias("result"), F.col("_m.error").alias("error")
-    ).drop("_m")
+    """Raw text with its parsed `result` and `error`.
 
+    As a generated row, which later filters on the parts cannot pass: pushed down
+    they would parse each message again for every part they look at.
+    """
+    return raw.select("*", F.inline(F.array(F.from_json("value", MESSAGE_DDL))))
 
-def parse_messages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Messages with a result, and apart from them those with an error or that
-    cannot be read, with the raw text."""
-    decoded = decode_messages(raw)
+
+def split_messages(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Decoded messages with a result, and those with an error or unreadable."""
     accepted = decoded.where(F.col("result").isNotNull()).drop("value", "error")
     reason = F.when(F.col("error").isNotNull(), F.lit("error")).otherwise(F.lit("unreadable"))
     rejected = decoded.where(F.col("result").isNull()).withColumn("reason", reason).drop("result")
     return accepted, rejected
 
 
+def parse_messages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Messages with a result, and apart from them those with an error or that
+    cannot be read, with the raw text."""
+    return split_messages(decode_messages(raw))
+
+
 def route_by_type(accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Transaction messages and block messages; anything else (such as the
     acknowledgement of a subscription) is neither."""

@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from txloom.model import RETENTION_HOURS, RETENTION_PERIOD
-from txloom.sources.messages import block_headers, height_span, parse_messages, route_by_type, transaction_rows
+from txloom.sources.messages import (
+    block_headers,
+    decode_messages,
+    height_span,
+    parse_messages,
+    route_by_type,
+    split_messages,
+    transaction_rows,
+)
 from txloom.sources.store import expire_store, index_batch, write_rejected
 
 
 def stream_index(
     raw: DataFrame, root: str, checkpoint: str, arrival: Column | None = None, **trigger
 ) -> StreamingQuery:
-    """Index a stream of raw messages; each micro-batch is one repeatable step."""
+    """Index a stream of raw messages; each micro-batch is one repeatable step.
+
+    The parsed batch is kept while it is stored, as several jobs read it; a lost
+    part is parsed again from the source.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        accepted, rejected = parse_messages(batch)
-        txs, _ = route_by_type(accepted)
-        write_rejected(root, rejected, batch_id)
-        index_batch(batch.sparkSession, root, transaction_rows(txs, arrival), batch_id)
+        decoded = decode_messages(batch).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            accepted, rejected = split_messages(decoded)
+            txs, _ = route_by_type(accepted)
+            write_rejected(root, rejected, batch_id)
+            index_batch(batch.sparkSession, root, transaction_rows(txs, arrival), batch_id)
+        finally:
+            decoded.unpersist()
 
     writer = raw.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
