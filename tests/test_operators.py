@@ -140,7 +140,7 @@ def test_upserts(spark, tx_of):
     decoded = X.decode_facts(facts, paths, values)
     as_set = lambda df: sorted((r.tx_id, r.path, r.value) for r in df.collect())
     assert as_set(decoded) == as_set(attrs)
-    found = M.matching_facts(facts, paths, values, R.attr_ge("*", "5u"))
+    found = M.matching_facts(facts, paths, values, "*", R.attr_ge("*", "5u"))
     assert as_set(found) == [(1, "b", "5u"), (1, "b", "5u"), (2, "a", "5u")]
 
 

@@ -33,5 +33,6 @@ def test_query(spark, views, name):
     ours = sorted(map(tuple, found.select(*[f"`{c}`" for c in columns]).collect()))
     order = [relation.columns.index(c) for c in columns]
     theirs = sorted(tuple(row[i] for i in order) for row in relation.fetchall())
-    assert len(ours) > 0 or name in ("attr_eq_long",)
+    # The deep page begins beyond these small tables.
+    assert ours or name == "page_deep"
     assert ours == theirs

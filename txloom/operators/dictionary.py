@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -9,11 +10,12 @@ from pyspark.sql import functions as F
 
 from txloom.functions import values as V
 from txloom.operators.ids import assign_ids, assign_ids_by_hash
-from txloom.operators.skew import join_spreading_hot_keys
+from txloom.operators.skew import fits_broadcast, join_spreading_hot_keys
+from txloom.session import shared_folder
 
 
 class Upsert(NamedTuple):
-    """`new` rows to append, and `found`: the rows of all requested keys."""
+    """`new` rows to append, and `found`: id and key of everything requested."""
 
     new: DataFrame
     found: DataFrame
@@ -27,24 +29,32 @@ def last_id(dictionary: DataFrame, id_col: str):
 def existing_rows(keys: DataFrame, dictionary: DataFrame, key: str) -> DataFrame:
     """Dictionary rows of the requested keys.
 
-    The dictionary is on the streamed side, so a small set of keys is broadcast
-    by the optimizer and the dictionary is read once without a shuffle.
+    The dictionary is on the streamed side: if the keys measure small enough to
+    broadcast, which those of a micro-batch do, it is read once without a shuffle.
     """
-    return dictionary.join(keys.select(key), key, "left_semi")
-
-
-def unseen(keys: DataFrame, dictionary: DataFrame, key: str) -> DataFrame:
-    """Requested keys the dictionary lacks, compared with its few matching rows only."""
-    return keys.join(existing_rows(keys, dictionary, key).select(key), key, "left_anti")
+    wanted = keys.select(key)
+    if fits_broadcast(wanted):
+        wanted = F.broadcast(wanted)
+    return dictionary.join(wanted, key, "left_semi")
 
 
 def insert_if_absent(
-    keys: DataFrame, dictionary: DataFrame, key: str, id_col: str, numbered_new: DataFrame
+    keys: DataFrame,
+    dictionary: DataFrame,
+    key: str,
+    id_col: str,
+    numbered: Callable[[DataFrame], DataFrame],
 ) -> Upsert:
-    """New rows with ids, united with the rows that were there already."""
-    found = existing_rows(keys, dictionary, key)
-    columns = dictionary.columns
-    return Upsert(numbered_new, found.select(columns).unionByName(numbered_new.select(columns)))
+    """Ids of distinct keys; those the dictionary lacks get new ones by `numbered`.
+
+    The keys and what is known of them are saved, so the data they come from and the
+    dictionary are read once each.
+    """
+    shared_folder(keys.sparkSession)
+    keys = keys.checkpoint()
+    known = existing_rows(keys, dictionary.select(id_col, key), key).checkpoint()
+    new = numbered(keys.join(known.select(key), key, "left_anti"))
+    return Upsert(new, known.unionByName(new.select(id_col, key)))
 
 
 # --- paths ------------------------------------------------------------------
@@ -62,8 +72,12 @@ def path_keys(tx: DataFrame) -> DataFrame:
 def upsert_paths(keys: DataFrame, paths: DataFrame, start=None) -> Upsert:
     """Ids in first-seen order: first transaction, then path."""
     start = last_id(paths, "path_id") if start is None else start
-    new = assign_ids(unseen(keys, paths, "path_text"), ["first_tx", "path_text"], "path_id", start)
-    return insert_if_absent(keys, paths, "path_text", "path_id", new.select("path_id", "path_text"))
+
+    def numbered(unseen: DataFrame) -> DataFrame:
+        with_id = assign_ids(unseen, ["first_tx", "path_text"], "path_id", start)
+        return with_id.select("path_id", "path_text")
+
+    return insert_if_absent(keys, paths, "path_text", "path_id", numbered)
 
 
 # --- values -----------------------------------------------------------------
@@ -94,8 +108,11 @@ def value_keys(attrs: DataFrame) -> DataFrame:
 def upsert_values(keys: DataFrame, values: DataFrame, start=None) -> Upsert:
     """Ids of new values in the order of their fingerprints."""
     start = last_id(values, "value_id") if start is None else start
-    new = assign_ids_by_hash(unseen(keys, values, "value_hash"), "value_hash", "value_id", start)
-    return insert_if_absent(keys, values, "value_hash", "value_id", new.select(values.columns))
+
+    def numbered(unseen: DataFrame) -> DataFrame:
+        return assign_ids_by_hash(unseen, "value_hash", "value_id", start).select("value_id", *keys.columns)
+
+    return insert_if_absent(keys, values, "value_hash", "value_id", numbered)
 
 
 # --- facts ------------------------------------------------------------------
@@ -111,8 +128,10 @@ def encode_attributes(
     is small as a rule, which the optimizer sees, and else it splits the
     partitions of frequent paths.
     """
+    stored = "value_hash" in attrs.columns
+    value_hash = F.col("value_hash") if stored else V.value_fingerprint("value")
     hashed = attrs.where("value IS NOT NULL").select(
-        *keep, F.col("path").alias("path_text"), V.value_fingerprint("value").alias("value_hash")
+        *keep, F.col("path").alias("path_text"), value_hash.alias("value_hash")
     )
     with_path = hashed.join(paths.select("path_id", "path_text"), "path_text")
     with_value = join_spreading_hot_keys(

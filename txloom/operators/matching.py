@@ -16,14 +16,14 @@ def matching_attributes(attrs: DataFrame, condition: Column) -> DataFrame:
 
 
 def matching_facts(
-    facts: DataFrame, paths: DataFrame, values: DataFrame, condition: Column
+    facts: DataFrame, paths: DataFrame, values: DataFrame, path: str, condition: Column
 ) -> DataFrame:
     """The same from the dictionary-coded tables: facts ⋈ paths ⋈ values.
 
-    Catalyst moves the conjuncts on `path` below the first join and those on the
-    value below the second.
+    Facts are cut down to the path first (one dictionary row unless it has a `*`);
+    what the condition says of the value Catalyst applies to the dictionary.
     """
-    named = paths.select("path_id", F.col("path_text").alias("path"))
+    named = paths.select("path_id", F.col("path_text").alias("path")).where(on_path(path))
     valued = values.select(
         "value_id",
         V.restore_value("value_text", "value_bytes").alias("value"),
@@ -31,19 +31,25 @@ def matching_facts(
         "unit",
         "value_hash",
     )
-    on_named_path = facts.select("tx_id", "path_id", "value_id").join(named, "path_id")
-    joined = join_spreading_hot_keys(on_named_path, valued, "value_id", ["tx_id", "path_id"])
+    here = facts.select("tx_id", "path_id", "value_id").join(named, "path_id")
+    joined = join_spreading_hot_keys(here, valued, "value_id", ["tx_id", "path_id"])
     return joined.where(condition).select("tx_id", "path", "value")
 
 
+def matching_ids(attrs: DataFrame, condition: Column) -> DataFrame:
+    """Each transaction with a match once; repeats are dropped before the shuffle,
+    which then serves the join as well."""
+    return attrs.where(condition).select("tx_id").distinct()
+
+
 def tx_semijoin(tx: DataFrame, attrs: DataFrame, condition: Column) -> DataFrame:
     """Transactions with a value that meets the condition, each once."""
-    return tx.join(attrs.where(condition).select("tx_id"), "tx_id", "left_semi")
+    return tx.join(matching_ids(attrs, condition), "tx_id", "left_semi")
 
 
 def tx_antijoin(tx: DataFrame, attrs: DataFrame, condition: Column) -> DataFrame:
     """Transactions without such a value."""
-    return tx.join(attrs.where(condition).select("tx_id"), "tx_id", "left_anti")
+    return tx.join(matching_ids(attrs, condition), "tx_id", "left_anti")
 
 
 def tx_outer_flags(
@@ -78,7 +84,7 @@ def attr_in_table(tx: DataFrame, attrs: DataFrame, path: str, members: DataFrame
     """
     here = attrs.where(on_path(path)).select("tx_id", "value")
     hits = join_spreading_hot_keys(here, members.select("value").distinct(), "value", ["tx_id"], "left_semi")
-    return tx.join(hits.select("tx_id"), "tx_id", "left_semi")
+    return tx.join(hits.select("tx_id").distinct(), "tx_id", "left_semi")
 
 
 def rehydrate(attrs: DataFrame, selected: DataFrame) -> DataFrame:

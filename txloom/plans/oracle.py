@@ -151,7 +151,7 @@ _TREE = (
 
 SQL |= {
     "attr_in_table": matching(
-        some("transfer.recipient", "value IN (SELECT 'supp' || s_suppkey FROM supplier WHERE s_acctbal < 0)")
+        some("transfer.recipient", "value IN (SELECT 'supp' || s_suppkey FROM supplier WHERE s_acctbal > 5000)")
     ),
     "all_of": matching(
         some("message.module", "value = 'compute'") + f" AND {RICH} AND " + some("wasm.refund", "true")
@@ -230,8 +230,17 @@ SQL |= {
         f"""d AS (SELECT value, {_HASH} AS value_hash,
     bool_or(starts_with(path, 'message.') OR starts_with(path, 'tx.')) AS known FROM attrs GROUP BY value)""",
     )
-    + f"""SELECT row_number() OVER (ORDER BY known DESC, value_hash) AS value_id, value_hash,
-    {number(group=2)} AS unit FROM d""",
+    + f"""SELECT * FROM (SELECT row_number() OVER (ORDER BY known DESC, value_hash) AS value_id, value_hash,
+    {number(group=2)} AS unit FROM d) WHERE value_id > (SELECT count(*) FROM d WHERE known)""",
+    "union_new_existing": _with(
+        ATTRS,
+        f"""d AS (SELECT value, {_HASH} AS value_hash,
+    bool_or(starts_with(path, 'message.') OR starts_with(path, 'memo.')) AS known,
+    bool_or(NOT starts_with(path, 'memo.')) AS requested FROM attrs GROUP BY value)""",
+        """n AS (SELECT value_hash, requested,
+    row_number() OVER (ORDER BY known DESC, value_hash) AS value_id FROM d)""",
+    )
+    + "SELECT value_id, value_hash FROM n WHERE requested",
     "insert_paths": _with(
         ATTRS, OWN, "s AS (SELECT path, min(tx_id) AS first_tx FROM own GROUP BY path)"
     )
@@ -392,6 +401,9 @@ FROM s JOIN q USING (tx_id) WHERE rich OR few GROUP BY sub_id""",
     "stream_fan_out": _with(CLICKS) + _LIVE_FAN_OUT,
     "stream_match_counts": _with(CLICKS, f"f AS ({_LIVE_FAN_OUT})")
     + "SELECT sub_id, count(*) AS matches FROM f GROUP BY sub_id",
+    "stream_fan_out_table": _with(CLICKS)
+    + """SELECT tx_id, sender AS sub_id FROM clicks
+WHERE cents > 10000 OR (CAST(k AS BIGINT) >= 95 AND action <> 'error')""",
     "stream_dedupe": _with(CLICKS) + "SELECT tx_id, tx_hash FROM clicks",
     "stream_rejected": _with(CLICKS)
     + """SELECT CASE action WHEN 'error' THEN 'error' ELSE 'unreadable' END AS reason, count(*) AS n

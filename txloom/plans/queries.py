@@ -54,6 +54,10 @@ def _indexed(spark: SparkSession, folder: str) -> DataFrame:
     return A.index_attributes(W.order_attrs(spark, folder))
 
 
+def _without_empty(txs: DataFrame) -> DataFrame:
+    return txs.withColumn("events", F.map_filter("events", lambda _, v: F.size(v) > 0))
+
+
 def _longest_document(spark: SparkSession, folder: str) -> str:
     longest = W.table(spark, folder, "documents").orderBy(F.desc(F.length("text")), "doc_id")
     return longest.select("text").first()[0]
@@ -228,7 +232,7 @@ def attr_ne_long_indexed(spark, folder):
 
 @query
 def attr_in_table(spark, folder):
-    suppliers = W.table(spark, folder, "supplier").where("s_acctbal < 0")
+    suppliers = W.table(spark, folder, "supplier").where("s_acctbal > 5000")
     members = suppliers.select(F.concat(F.lit("supp"), F.col("s_suppkey").cast("string")).alias("value"))
     headers, attrs = W.order_headers(spark, folder), W.order_attrs(spark, folder)
     return M.attr_in_table(headers, attrs, "transfer.recipient", members).select("tx_id")
@@ -327,7 +331,7 @@ def decode_facts(spark, folder):
 def matching_facts(spark, folder):
     attrs, paths, values = _dictionaries(spark, folder)
     facts = X.encode_attributes(attrs, paths, values)
-    return M.matching_facts(facts, paths, values, R.attr_gt("transfer.amount", "5000000uscrt"))
+    return M.matching_facts(facts, paths, values, "transfer.amount", R.attr_gt("transfer.amount", "5000000uscrt"))
 
 
 @query
@@ -336,15 +340,23 @@ def insert_if_absent(spark, folder):
     attrs = W.order_attrs(spark, folder)
     known = attrs.where(F.col("path").startswith("message.") | F.col("path").startswith("tx."))
     known = I.assign_ids_by_hash(X.value_keys(known), "value_hash", "value_id")
-    columns = ["value_id", "value_hash", "qty_text", "qty_key", "unit", "value_text", "value_bytes"]
-    upsert = X.upsert_values(X.value_keys(attrs), known.select(columns))
-    return upsert.found.select("value_id", "value_hash", _text("unit"))
+    return X.upsert_values(X.value_keys(attrs), known).new.select("value_id", "value_hash", _text("unit"))
+
+
+@query
+def union_new_existing(spark, folder):
+    """Ids of all requested values, those of orders and line items, known or not."""
+    attrs = W.order_attrs(spark, folder)
+    known = attrs.where(F.col("path").startswith("message.") | F.col("path").startswith("memo."))
+    known = I.assign_ids_by_hash(X.value_keys(known), "value_hash", "value_id")
+    requested = attrs.where(~F.col("path").startswith("memo."))
+    return X.upsert_values(X.value_keys(requested), known).found
 
 
 @query
 def insert_paths(spark, folder):
     """Paths in first-seen order, `tm.event` and `tx.hash` already known."""
-    txs = A.build_event_map(A.explode_attributes(W.order_txs(spark, folder)))
+    txs = _without_empty(W.order_txs(spark, folder))
     known = spark.createDataFrame([(1, "tm.event"), (2, "tx.hash")], "path_id long, path_text string")
     return X.upsert_paths(X.path_keys(txs), known).found
 
@@ -446,7 +458,7 @@ def page_deep(spark, folder):
 
 @query
 def list_attributes(spark, folder):
-    txs = A.build_event_map(A.explode_attributes(W.order_txs(spark, folder)))
+    txs = _without_empty(W.order_txs(spark, folder))
     none = spark.createDataFrame([], "path_id long, path_text string")
     return D.list_attributes(X.upsert_paths(X.path_keys(txs), none).new, 6, 1)
 
@@ -644,6 +656,36 @@ def fan_out_many(spark, folder):
     return found.groupBy("sub_id").agg(F.count("*").alias("matches"), F.sum("tx_id").alias("sum_ids"))
 
 
+@query
+def stream_fan_out_table(spark, folder):
+    """A filter for every user, on the stream: their dear or their many-sided clicks."""
+    user = F.concat(F.lit("user"), F.col("user_id").cast("string"))
+    none = F.lit(None).cast("array<string>")
+
+    def condition(clause: int, number: int, path: str, op: str, arg: Column) -> Column:
+        return F.struct(
+            F.lit(clause).alias("clause"),
+            F.lit(number).alias("cond_no"),
+            F.lit(path).alias("path"),
+            F.lit(op).alias("op"),
+            arg.alias("arg"),
+            none.alias("members"),
+        )
+
+    each = F.array(
+        condition(0, 0, "message.sender", "=", user),
+        condition(0, 1, "transfer.amount", ">", F.lit("10000uscrt")),
+        condition(1, 0, "message.sender", "=", user),
+        condition(1, 1, "wasm.k", ">=", F.lit("95")),
+        condition(1, 2, "message.action", "!=", F.lit("error")),
+    )
+    users = W.stored_events(spark, folder).select("user_id").distinct()
+    held = users.select(user.alias("sub_id"), F.inline(each))
+    sink = scratch(spark, "held")
+    C.stream_fan_out_table(_live(spark, folder), held, sink, scratch(spark, "held-checkpoint")).awaitTermination()
+    return spark.read.parquet(sink).select("tx_id", "sub_id")
+
+
 @query
 def dedupe_by_hash(spark, folder):
     txs = _clicks(spark, folder)

@@ -93,8 +93,8 @@ def _progress_before(spark: SparkSession, root: str, batch_id: int):
 def index_batch(spark: SparkSession, root: str, rows: DataFrame, batch_id: int) -> None:
     """Store one batch of `transaction_rows` as a repeatable step.
 
-    Each table is written and then read back, so ids that later tables refer to
-    are the ones on disk.
+    Transactions and attributes are written and then read back; new ids are saved
+    before anything refers to them.
     """
     last_tx, last_path, last_value = _progress_before(spark, root, batch_id)
 
@@ -115,14 +115,12 @@ def index_batch(spark: SparkSession, root: str, rows: DataFrame, batch_id: int)
     _write(clustered, root, "attrs", batch_id)
     attrs = written("attrs")
 
+    # Of the dictionaries only the rows of this batch are needed from here on.
     paths = upsert_paths(path_keys(tx), known("paths"), last_path)
     _write(paths.new, root, "paths", batch_id)
     values = upsert_values(value_keys(attrs), known("values"), last_value)
     _write(values.new, root, "values", batch_id)
-
-    all_paths = known("paths").unionByName(written("paths"))
-    all_values = known("values").unionByName(written("values"))
-    _write(encode_attributes(attrs, all_paths, all_values, ("tx_id", "ts")), root, "facts", batch_id)
+    _write(encode_attributes(attrs, paths.found, values.found, ("tx_id", "ts")), root, "facts", batch_id)
 
     highest = {
         "path": written("paths").agg(F.max("path_id")).first()[0] or last_path,

@@ -63,14 +63,17 @@ def backfill_then_live(
     found = stream_filter(live, matches)
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
-        once = dedupe_by_hash(batch)
-        if batch_id == 0:
-            stored = dedupe_by_hash(history.where(matches))
-            out = stored.unionByName(not_delivered(once, stored))
-        else:
-            earlier = batch.sparkSession.read.parquet(sink).where(F.col("batch_id") < batch_id)
-            out = not_delivered(once, earlier)
-        out.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        once = dedupe_by_hash(batch).persist()
+        try:
+            if batch_id == 0:
+                stored = dedupe_by_hash(history.where(matches))
+                out = stored.unionByName(not_delivered(once, stored))
+            else:
+                earlier = batch.sparkSession.read.parquet(sink).where(F.col("batch_id") < batch_id)
+                out = not_delivered(once, earlier)
+            out.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        finally:
+            once.unpersist()
 
     writer = found.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
