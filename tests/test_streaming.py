@@ -113,6 +113,15 @@ def test_index_in_two_batches_and_again(spark, tmp_path):
     assert [(r.tx_id, r.tx, r.query) for r in found.collect()] == [(3, "dHg=", "long")]
 
 
+def test_a_batch_without_transactions(spark, tmp_path):
+    root = str(tmp_path / "store")
+    for batch, texts in enumerate([BAD, [tx_message(1, {"tx.hash": ["A"]})], [block_message(3)]]):
+        raw = spark.createDataFrame([(t,) for t in texts], "value string")
+        store.index_batch(spark, root, G.transaction_rows(G.route_by_type(G.parse_messages(raw)[0])[0]), batch)
+    assert [r.tx_id for r in store.read_table(spark, root, "transactions").collect()] == [1]
+    assert store._last_committed(spark, root).last_tx_id == 1
+
+
 def test_a_batch_without_progress_is_not_visible(spark, tmp_path):
     root = str(tmp_path / "store")
     raw = spark.createDataFrame([(tx_message(1, {"tx.hash": ["A"]}),)], "value string")
@@ -142,7 +151,7 @@ def test_expiry_hides_rows_and_deletes_old_batches(spark, tmp_path):
     assert not (tmp_path / "store" / "transactions" / "batch_id=0").exists()
     assert (tmp_path / "store" / "transactions" / "batch_id=1").exists()
     assert store.read_table(spark, root, "values").count() > 0
-    assert store._progress_before(spark, root, 3)[0] == 5
+    assert store._last_committed(spark, root, 3).last_tx_id == 5
 
 
 def random_conditions(rng, n):

@@ -290,7 +290,7 @@ ORDER BY first_tx, path LIMIT 6 OFFSET 1""",
 _KEPT = "ts >= TIMESTAMP '2024-01-31' - INTERVAL 336 HOURS"
 
 SQL |= {
-    "expire_transactions": _with(CLICKS) + f"SELECT tx_id, epoch_us(ts) AS ts_us FROM clicks WHERE {_KEPT}",
+    "expire_transactions": _with(CLICKS) + f"SELECT tx_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM clicks WHERE {_KEPT}",
     "cascade_expire": _with(CLICKS, CLICK_ATTRS) + f"SELECT tx_id, path, value FROM click_attrs WHERE {_KEPT}",
     "stream_retention": _with(CLICKS, CLICK_ATTRS)
     + f"""SELECT path, count(*) AS n, count(DISTINCT tx_id) AS txs FROM click_attrs
@@ -315,7 +315,7 @@ SQL |= {
     "stream_heights": _with(CLICKS) + _SPAN,
     "append_transactions": _with(CLICKS)
     + f"""SELECT 100 + row_number() OVER (ORDER BY height, tx_hash) AS new_id, height, tx_hash,
-    CAST(tx_id AS VARCHAR) AS body, tx_id AS gas_used, epoch_us(ts) AS ts_us FROM clicks WHERE {GOOD}""",
+    CAST(tx_id AS VARCHAR) AS body, tx_id AS gas_used, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM clicks WHERE {GOOD}""",
     "flatten_result_events": _with(CLICKS, f"r AS ({_TRANSFER.format(GOOD)})")
     + "SELECT tx_id, path, value, CAST(indexed AS BIGINT) AS indexed FROM r",
     "log_attributes": _with(CLICKS, f"r AS ({_TRANSFER.format("action = 'click'")})") + "SELECT tx_id, path, value FROM r",

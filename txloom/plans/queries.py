@@ -6,7 +6,6 @@ All of them return scalar columns; lists are joined into text.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,7 +31,6 @@ from txloom.streaming import live as L
 
 Query = Callable[[SparkSession, str], DataFrame]
 HUGE = "1000" + "7" * 40
-NOW = datetime(2024, 1, 31)
 EXPLORER = "https://explorer.example/{chainShort}/tx/{hash}"
 QUERIES: dict[str, Query] = {}
 
@@ -46,6 +44,15 @@ def _joined(values: Column) -> Column:
     return F.array_join(values, "|")
 
 
+def _at(day: str) -> Column:
+    """Midnight of a day in the session's time zone, as the stored times are."""
+    return F.to_timestamp(F.lit(day))
+
+
+def _shown(ts: str) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(ts)
+
+
 def _text(column: str) -> Column:
     return F.coalesce(column, F.lit("")).alias(column)
 
@@ -490,15 +497,15 @@ def _clicks(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def expire_transactions(spark, folder):
-    kept = E.expire_transactions(_clicks(spark, folder), F.lit(NOW))
-    return kept.select("tx_id", F.unix_micros("ts").alias("ts_us"))
+    kept = E.expire_transactions(_clicks(spark, folder), _at("2024-01-31"))
+    return kept.select("tx_id", _shown("ts"))
 
 
 @query
 def cascade_expire(spark, folder):
     txs = _clicks(spark, folder)
     facts = A.explode_attributes(txs).select("tx_id", "path", "value")
-    return E.cascade_expire(facts, E.expire_transactions(txs, F.lit(NOW)))
+    return E.cascade_expire(facts, E.expire_transactions(txs, _at("2024-01-31")))
 
 
 # --- messages ---------------------------------------------------------------
@@ -552,7 +559,7 @@ def append_transactions(spark, folder):
         "tx_hash",
         F.decode("tx_bytes", "UTF-8").alias("body"),
         F.col("result.gas_used").alias("gas_used"),
-        F.unix_micros("ts").alias("ts_us"),
+        _shown("ts"),
     )
 
 
@@ -770,8 +777,8 @@ def stream_dedupe(spark, folder):
 def backfill_then_live(spark, folder):
     """History up to the 20th, live from the 10th on; the overlap arrives once."""
     txs = _clicks(spark, folder)
-    history = txs.where(F.col("ts") < F.lit(datetime(2024, 1, 20)))
-    live = _live(spark, folder).where(F.col("ts") >= F.lit(datetime(2024, 1, 10)))
+    history = txs.where(F.col("ts") < _at("2024-01-20"))
+    live = _live(spark, folder).where(F.col("ts") >= _at("2024-01-10"))
     sink = scratch(spark, "backfill")
     L.backfill_then_live(history, live, _live_filter(), sink, scratch(spark, "backfill-checkpoint")).awaitTermination()
     return spark.read.parquet(sink).select("tx_id", "tx_hash", "height")
@@ -809,6 +816,6 @@ def stream_rejected(spark, folder):
 def stream_retention(spark, folder):
     """The store after one expiry run."""
     root = _index_live(spark, folder)
-    store.expire_store(spark, root, NOW)
+    store.expire_store(spark, root, _at("2024-01-31"))
     kept = store.read_table(spark, root, "attrs")
     return kept.groupBy("path").agg(F.count("*").alias("n"), F.count_distinct("tx_id").alias("txs"))

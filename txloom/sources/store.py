@@ -11,7 +11,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from txloom import model
@@ -66,14 +66,36 @@ def _write(df: DataFrame, root: str, table: str, batch_id: int) -> None:
     writer.parquet(_folder(root, table, batch_id))
 
 
-def _last_committed(spark: SparkSession, root: str) -> int:
-    last = _read(spark, root, "progress").agg(F.max("batch_id")).first()[0]
-    return -1 if last is None else last
+def _hadoop(spark: SparkSession, folder: str):
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
+
+
+def _last_committed(spark: SparkSession, root: str, before: int | None = None) -> Row | None:
+    """`progress` of the last batch (before some other), with its `batch_id`.
+
+    From the folder names, so only one small file is read however many there are.
+    """
+    files, path = _hadoop(spark, f"{root}/progress")
+    if not files.exists(path):
+        return None
+    names = [status.getPath().getName() for status in files.listStatus(path)]
+    ids = sorted((int(n.removeprefix("batch_id=")) for n in names if n.startswith("batch_id=")), reverse=True)
+    for batch_id in ids:
+        if before is None or batch_id < before:
+            rows = spark.read.schema(SCHEMAS["progress"]).parquet(_folder(root, "progress", batch_id))
+            # A folder whose writing was cut short has no row yet.
+            row = rows.withColumn("batch_id", F.lit(batch_id)).first()
+            if row is not None:
+                return row
+    return None
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Committed rows of a table that have not expired."""
-    df = _read(spark, root, table).where(F.col("batch_id") <= _last_committed(spark, root))
+    last = _last_committed(spark, root)
+    df = _read(spark, root, table).where(F.col("batch_id") <= (-1 if last is None else last.batch_id))
     if table in AGING:
         limit = _read(spark, root, "retention").agg(F.max("cutoff")).first()[0]
         if limit is not None:
@@ -81,22 +103,16 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     return df.drop("batch_id")
 
 
-def _progress_before(spark: SparkSession, root: str, batch_id: int):
-    """Counters after the batch before this one."""
-    rows = _read(spark, root, "progress").where(F.col("batch_id") < batch_id)
-    row = rows.agg(
-        F.max("last_tx_id").alias("tx"), F.max("last_path_id").alias("path"), F.max("last_value_id").alias("value")
-    ).first()
-    return row.tx or 0, row.path or 0, row.value or 0
-
-
 def index_batch(spark: SparkSession, root: str, rows: DataFrame, batch_id: int) -> None:
     """Store one batch of `transaction_rows` as a repeatable step.
 
     Transactions and attributes are written and then read back; new ids are saved
     before anything refers to them.
     """
-    last_tx, last_path, last_value = _progress_before(spark, root, batch_id)
+    last = _last_committed(spark, root, batch_id)
+    last_tx, last_path, last_value = (
+        (0, 0, 0) if last is None else (last.last_tx_id, last.last_path_id, last.last_value_id)
+    )
 
     def written(table: str) -> DataFrame:
         return spark.read.schema(SCHEMAS[table]).parquet(_folder(root, table, batch_id))
@@ -142,19 +158,19 @@ def write_rejected(root: str, rejected: DataFrame, batch_id: int) -> None:
 
 
 def expire_store(
-    spark: SparkSession, root: str, now: datetime | None = None, hours: int = RETENTION_HOURS
+    spark: SparkSession, root: str, now: datetime | Column | None = None, hours: int = RETENTION_HOURS
 ) -> int:
     """Hide transactions older than `hours` and delete batches that are all old.
 
     No rows are scanned or rewritten: the times of each batch are in `progress`.
     Returns the number of batches deleted.
     """
-    moment = F.current_timestamp() if now is None else F.lit(now)
-    earlier = _read(spark, root, "retention").select("cutoff")
+    moment = F.current_timestamp() if now is None else now if isinstance(now, Column) else F.lit(now)
+    earlier = _read(spark, root, "retention")
     limit = (
         spark.range(1)
         .select(cutoff(moment, hours).cast("timestamp").alias("cutoff"))
-        .unionByName(earlier)
+        .unionByName(earlier.select("cutoff"))
         .agg(F.max("cutoff").alias("cutoff"))  # never moves back
         .withColumn("run", F.unix_seconds("cutoff"))
         .first()
@@ -162,9 +178,15 @@ def expire_store(
     if not earlier.where(F.col("cutoff") == F.lit(limit.cutoff)).take(1):
         marker = spark.createDataFrame([(limit.cutoff,)], "cutoff timestamp")
         _write(marker, root, "retention", limit.run)
+        # Markers of a day ago, which no reader can still be at, serve no more.
+        for row in earlier.where(F.col("batch_id") < limit.run - 86_400).select("batch_id").toLocalIterator():
+            _delete(spark, _folder(root, "retention", row.batch_id))
 
+    last = _last_committed(spark, root)
+    if last is None:
+        return 0
     # The last batch stays known, because the next one counts on from it.
-    batches = _read(spark, root, "progress").where(F.col("batch_id") < _last_committed(spark, root))
+    batches = _read(spark, root, "progress").where(F.col("batch_id") < last.batch_id)
     old = batches.where(F.col("last_ts") < F.lit(limit.cutoff)).select("batch_id").distinct()
     deleted = 0
     for row in old.toLocalIterator():
@@ -175,6 +197,5 @@ def expire_store(
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    files, path = _hadoop(spark, folder)
+    files.delete(path, True)
