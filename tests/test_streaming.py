@@ -168,11 +168,12 @@ def random_conditions(rng, n):
     return held, meaning
 
 
-@pytest.mark.parametrize("broadcast_rows", [10_000, 0])
-def test_condition_table_equals_expressions_and_python(spark, tx_of, monkeypatch, broadcast_rows):
+@pytest.mark.parametrize("broadcast_rows, carried", [(10_000, 256), (10_000, 4), (0, 256)])
+def test_condition_table_equals_expressions_and_python(spark, tx_of, monkeypatch, broadcast_rows, carried):
     from txloom.operators import skew
 
     monkeypatch.setattr(skew, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(C, "CARRIED_VALUES", carried)
     rng = random.Random(6)
     maps = [model.random_events(rng) for _ in range(100)]
     held, meaning = random_conditions(rng, 40)
@@ -198,6 +199,14 @@ def test_condition_table_refuses_unknown_operators(spark, tx_of):
             C.fan_out_table(tx_of({"a": ["x"]}), spark.createDataFrame(held, C.CONDITIONS_DDL))
 
 
+def test_condition_table_with_single_conditions_and_no_map(spark):
+    txs = spark.createDataFrame([(1, {"a": ["5u"]}), (2, None)], "tx_id long, events map<string,array<string>>")
+    held = [("gt", 0, 0, "a", ">", "4u", None), ("no", 0, 0, "a", "not exists", None, None)]
+    for n in (1, 2):
+        found = C.fan_out_table(txs, spark.createDataFrame(held[:n], C.CONDITIONS_DDL)).collect()
+        assert sorted((r.tx_id, r.sub_id) for r in found) == [(1, "gt"), (2, "no")][:n]
+
+
 def test_each_subscription_gets_its_own_copy(tx_of):
     txs = tx_of({"a": ["1"]}, {"a": ["2"]})
     delivered = L.fan_out(txs, {"one": P.attr_eq("a", 1), "again": P.attr_eq("a", 1), "none": P.attr_eq("a", 9)})
