@@ -1,5 +1,6 @@
 import json
 import random
+import time
 from datetime import datetime, timedelta
 
 import model
@@ -154,6 +155,30 @@ def test_expiry_hides_rows_and_deletes_old_batches(spark, tmp_path):
     assert store._last_committed(spark, root, 3).last_tx_id == 5
 
 
+def test_retention_runs_again_and_again(spark, tmp_path):
+    root, now = str(tmp_path / "store"), datetime.now()
+
+    def add(batch, days):
+        raw = spark.createDataFrame([(tx_message(1, {"tx.hash": [f"{batch}"]}),)], "value string")
+        txs, _ = G.route_by_type(G.parse_messages(raw)[0])
+        store.index_batch(spark, root, G.transaction_rows(txs, F.lit(now - timedelta(days=days))), batch)
+
+    add(0, 20)
+    add(1, 1)
+    folder = tmp_path / "store" / "transactions"
+    query = N.stream_retention(spark, root, str(tmp_path / "check"), every="1 second")
+    try:
+        assert not (folder / "batch_id=0").exists() and (folder / "batch_id=1").exists()
+        add(2, 16)
+        add(3, 1)
+        deadline = time.time() + 60
+        while (folder / "batch_id=2").exists() and time.time() < deadline:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert sorted(p.name for p in folder.iterdir()) == ["batch_id=1", "batch_id=3"]
+
+
 def random_conditions(rng, n):
     held, meaning = [], {}
     for s in range(n):

@@ -108,10 +108,10 @@ def test_tx_hash_is_the_first_value(spark, tx_of):
 
 
 def test_explorer_link(spark):
-    df = spark.createDataFrame([("secret-4", "AB"), ("plain", "CD")], "chain string, hash string")
+    df = spark.createDataFrame([("chain-4", "AB"), ("plain", "CD")], "chain string, hash string")
     link = V.explorer_link("https://x.example/{chainShort}/tx/{hash}", "chain", "hash")
     assert [r.u for r in df.select(link.alias("u")).collect()] == [
-        "https://x.example/secret/tx/AB",
+        "https://x.example/chain/tx/AB",
         "https://x.example/plain/tx/CD",
     ]
 

@@ -23,6 +23,9 @@ PATH_LIMIT = 512
 UNLISTED_PREFIX = "wasm."
 # Paths which never become columns of a result table.
 IMPLIED_PATHS = ("tm.event", "tx.hash", "tx.height")
+# Types of upstream messages.
+TX_TYPE = "tendermint/event/Tx"
+BLOCK_TYPE = "tendermint/event/NewBlock"
 # An integer with an optional unit; shared by Spark (Java) and Python.
 QUANTITY_PATTERN = (
     r"^([-+]?\d{1,78})"

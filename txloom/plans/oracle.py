@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from txloom.model import LISTING_LIMIT, SEARCH_BATCH, TEXT_LIMIT  # noqa: F401
+from txloom.model import SEARCH_BATCH, TEXT_LIMIT, TX_TYPE
 
 QTY = r"^([-+]?\d{1,78})([a-z\d_]{1,16}|ibc/[A-F0-9]{64}|factory/\S{0,120})?$"
 ANY = r"[^\n\r\x{2028}\x{2029}]*"
@@ -305,8 +305,8 @@ UNION ALL SELECT tx_id, 'transfer.amount', amount, 0 FROM clicks WHERE {0}"""
 
 SQL |= {
     "parse_messages": _with(CLICKS)
-    + """SELECT tx_id, CASE action WHEN 'error' THEN 'error' WHEN 'signup' THEN 'unreadable' ELSE 'ok' END AS kind,
-    CASE action WHEN 'error' THEN sender WHEN 'signup' THEN '' ELSE 'tendermint/event/Tx' END AS detail FROM clicks""",
+    + f"""SELECT tx_id, CASE action WHEN 'error' THEN 'error' WHEN 'signup' THEN 'unreadable' ELSE 'ok' END AS kind,
+    CASE action WHEN 'error' THEN sender WHEN 'signup' THEN '' ELSE '{TX_TYPE}' END AS detail FROM clicks""",
     "route_by_type": _with(CLICKS)
     + f"SELECT 'tx' AS kind, count(*) AS n FROM clicks WHERE {GOOD} UNION ALL SELECT 'block', count(*) FROM clicks",
     "block_headers": _with(CLICKS)

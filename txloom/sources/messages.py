@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from txloom.functions import values as V
 from txloom.functions.predicates import attr_eq
-from txloom.model import MESSAGE_DDL
+from txloom.model import BLOCK_TYPE, MESSAGE_DDL, TX_TYPE
 from txloom.operators.ids import assign_ids
 
 
@@ -59,10 +59,8 @@ def route_by_type(accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
     acknowledgement of a subscription) is neither."""
     events = F.col("result.events")
     kind = F.col("result.data.type")
-    is_tx = attr_eq("tm.event", "Tx", events) | F.coalesce(kind == "tendermint/event/Tx", F.lit(False))
-    is_block = attr_eq("tm.event", "NewBlock", events) | F.coalesce(
-        kind == "tendermint/event/NewBlock", F.lit(False)
-    )
+    is_tx = attr_eq("tm.event", "Tx", events) | F.coalesce(kind == TX_TYPE, F.lit(False))
+    is_block = attr_eq("tm.event", "NewBlock", events) | F.coalesce(kind == BLOCK_TYPE, F.lit(False))
     return accepted.where(is_tx), accepted.where(is_block)
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txloom.model import BLOCK_TYPE, TX_TYPE
+
 MODULES = {"F": "compute", "O": "bank", "P": "gov"}
 UNITS = {"A": "uscrt", "N": "uatom"}
 
@@ -199,7 +201,7 @@ def event_messages(events: DataFrame) -> DataFrame:
         F.struct(
             F.struct(
                 F.struct(
-                    F.lit("tendermint/event/Tx").alias("type"),
+                    F.lit(TX_TYPE).alias("type"),
                     F.struct(body.alias("TxResult")).alias("value"),
                 ).alias("data"),
                 tx["events"].alias("events"),
@@ -221,7 +223,7 @@ def block_messages(events: DataFrame) -> DataFrame:
     header = F.struct(F.struct(F.struct(height.alias("height"), time.alias("time")).alias("header")).alias("block"))
     message = F.struct(
         F.struct(
-            F.struct(F.lit("tendermint/event/NewBlock").alias("type"), header.alias("value")).alias("data"),
+            F.struct(F.lit(BLOCK_TYPE).alias("type"), header.alias("value")).alias("data"),
             F.create_map(F.lit("tm.event"), F.array(F.lit("NewBlock"))).alias("events"),
         ).alias("result")
     )

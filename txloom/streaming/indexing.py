@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from txloom.model import RETENTION_HOURS, RETENTION_PERIOD
@@ -57,6 +56,7 @@ def stream_retention(
     spark: SparkSession, root: str, checkpoint: str, hours: int = RETENTION_HOURS, every: str = RETENTION_PERIOD
 ) -> StreamingQuery:
     """Expire the store now and then every hour."""
+    expire_store(spark, root, None, hours)
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
     def step(batch: DataFrame, batch_id: int) -> None:
