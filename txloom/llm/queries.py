@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txloom.llm import hilbert, secret_scan, url_filter, warc
+from txloom.llm import bpe, hilbert, secret_scan, url_filter, warc
 from txloom.llm.common import table
 
 URL_RULES = [
@@ -65,7 +65,32 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.tiktoken") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = bpe.read_ranks(tokenizer_file())
+    encoded = bpe.encode(docs, ranks, offsets=False).select("doc_id", "token_ids")
+    decoded = bpe.decode(encoded, ranks)
+    return decoded.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_template_filter, op5_secret_links, op6_warc_derivatives, op7_hilbert_shards)
+    for f in (
+        op1_url_template_filter,
+        op5_secret_links,
+        op6_warc_derivatives,
+        op7_hilbert_shards,
+        op8_byte_bpe,
+    )
 }
