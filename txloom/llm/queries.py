@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txloom.llm import bpe, hilbert, secret_scan, url_filter, warc
+from txloom.llm import bpe, hilbert, language, secret_scan, url_filter, warc
 from txloom.llm.common import table
 
 URL_RULES = [
@@ -22,6 +22,19 @@ def op1_url_template_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
+def remainder(doc_id: str, divisor: int):
+    """crc32 of the id as text, modulo `divisor`; null for a null id."""
+    return F.pmod(F.crc32(F.encode(F.col(doc_id).cast("string"), "utf-8")), F.lit(divisor))
+
+
+def op3_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    model = language.train(docs.where(remainder("doc_id", 4) != 2), "text", "lang")
+    found = language.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.find_secrets(docs).select("doc_id", "secrets")
@@ -88,6 +101,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_template_filter,
+        op3_string_kernel_language,
         op5_secret_links,
         op6_warc_derivatives,
         op7_hilbert_shards,
