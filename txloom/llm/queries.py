@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txloom.llm import bpe, hilbert, language, secret_scan, url_filter, warc
+from txloom.llm import bpe, decontaminate, hilbert, language, secret_scan, url_filter, warc
 from txloom.llm.common import table
 
 URL_RULES = [
@@ -97,6 +97,20 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # Only n_words leaves the texts, so they are dropped after the pass over them.
+    found = decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -106,5 +120,6 @@ QUERIES = {
         op6_warc_derivatives,
         op7_hilbert_shards,
         op8_byte_bpe,
+        op10_benchmark_overlap,
     )
 }
