@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txloom.llm import bpe, decontaminate, hilbert, language, secret_scan, url_filter, warc
+from txloom.llm import bpe, decontaminate, hilbert, language, secret_scan, topk, url_filter, warc
 from txloom.llm.common import table
 
 URL_RULES = [
@@ -35,6 +35,11 @@ def op3_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_norm_bucket_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where(F.col("id") % 20 == 0), k=20)
+
+
 def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.find_secrets(docs).select("doc_id", "secrets")
@@ -116,6 +121,7 @@ QUERIES = {
     for f in (
         op1_url_template_filter,
         op3_string_kernel_language,
+        op4_norm_bucket_top_k,
         op5_secret_links,
         op6_warc_derivatives,
         op7_hilbert_shards,
