@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txloom.llm import bpe, decontaminate, hilbert, language, secret_scan, topk, url_filter, warc
+from txloom.llm import bpe, decontaminate, hilbert, language, secret_scan, suffix_tree, topk, url_filter, warc
 from txloom.llm.common import table
 
 URL_RULES = [
@@ -16,15 +16,30 @@ URL_RULES = [
 ]
 
 
+def remainder(doc_id: str, divisor: int):
+    """crc32 of the id as text, modulo `divisor`; null for a null id."""
+    return F.pmod(F.crc32(F.encode(F.col(doc_id).cast("string"), "utf-8")), F.lit(divisor))
+
+
 def op1_url_template_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_filter.filter_urls(pages, "url", URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
-def remainder(doc_id: str, divisor: int):
-    """crc32 of the id as text, modulo `divisor`; null for a null id."""
-    return F.pmod(F.crc32(F.encode(F.col(doc_id).cast("string"), "utf-8")), F.lit(divisor))
+def op2_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, vocabulary = suffix_tree.train(docs.where(remainder("doc_id", 5) != 1))
+    scored = suffix_tree.score(docs, model, vocabulary, keep=["doc_id"])
+    return scored.select(
+        "doc_id",
+        F.coalesce(remainder("doc_id", 5) == 1, F.lit(False)).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.total).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
 
 
 def op3_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +135,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_template_filter,
+        op2_suffix_tree_score,
         op3_string_kernel_language,
         op4_norm_bucket_top_k,
         op5_secret_links,
