@@ -1,21 +1,73 @@
-"""A training-data pipeline over `documents`: each stage's rows are the next one's input."""
+"""A training-data pipeline over `documents`: each stage's rows are the next one's input.
+
+Stages take all documents that their predecessor kept, with the columns of `documents`, and
+return these columns; the last returns tokens. Columns beside these are ignored. Rows without
+a doc_id pass through every stage that does not judge their text as bad.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from txloom.llm import secret_scan
+from txloom.llm import bpe, decontaminate, language, minhash, secret_scan
 from txloom.llm.common import saved, table
+from txloom.llm.queries import tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language (no text, or no letters in it) go."""
+    docs = docs.select(COLUMNS)
+    found = language.predict(docs, language.train(docs, "text", "lang"))
+    return found.where(F.col("lang_pred") != language.UNDETERMINED).select(COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8) the least doc_id stays.
+
+    Rows with one doc_id are one document, and rows without any all stay.
+    """
+    docs = docs.select(COLUMNS)
+    found = minhash.near_duplicates(docs)
+    gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
+    # Few ids, and no text, are on the right; Spark broadcasts them if they measure small.
+    return docs.join(saved(gone, "copies"), "doc_id", "left_anti").select(COLUMNS)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more stands in the benchmark go."""
+    found = decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS)
+    return found.where(~F.col("contaminated")).select(COLUMNS)
+
+
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are masked; every document stays."""
-    return secret_scan.redact(docs).select(COLUMNS)
+    """Secrets in the texts are masked, and n_chars follows; every document stays."""
+    clean = secret_scan.redact(docs.select(COLUMNS))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens and their byte offsets; `lossless` says that decoding gives the text again."""
+    ranks = bpe.read_ranks(tokenizer_file())
+    decoded = bpe.decode(bpe.encode(docs.select(COLUMNS), ranks), ranks)
+    text = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    return decoded.select(
+        "doc_id", "lang", "source",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        "token_ids", "token_offsets",
+        (F.col("decoded") == text).alias("lossless"),
+    )
 
 
-STAGES = [("secrets", secret_stage)]
+STAGES = [
+    ("language", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secret_stage),
+    ("tokens", token_stage),
+]
 
 # Language classification and tokenising are beyond SQL.
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txloom.llm import bpe, decontaminate, hilbert, language, secret_scan, suffix_tree, topk, url_filter, warc
+from txloom.llm import bpe, decontaminate, hilbert, language, minhash, secret_scan, suffix_tree, topk, url_filter, warc
 from txloom.llm.common import table
 
 URL_RULES = [
@@ -117,6 +117,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_coordinate_join_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    settings = minhash.Settings(shingle=3, percent=85, matches=36)
+    return minhash.near_duplicates(docs, settings=settings)
+
+
 def op10_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     # Only n_words leaves the texts, so they are dropped after the pass over them.
@@ -142,6 +148,7 @@ QUERIES = {
         op6_warc_derivatives,
         op7_hilbert_shards,
         op8_byte_bpe,
+        op9_coordinate_join_dedup,
         op10_benchmark_overlap,
     )
 }
