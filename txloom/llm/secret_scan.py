@@ -26,11 +26,12 @@ ASSIGN_LEAST = 6
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 
-# Weak parts.
+# Weak parts; each begins where no word goes on.
+_START = "(?<![A-Za-z0-9_])"
 _VALUE = r"""["']?\x20*[:=]\x20*["']?"""
-IDENTIFIER = rf"""\b(?i:user(?:_?name)?|login|client_?id|access_?key_?id|account_?id)\b{_VALUE}[A-Za-z0-9._@-]{{3,}}"""
+IDENTIFIER = rf"""{_START}(?i:user(?:_?name)?|login|client_?id|access_?key_?id|account_?id){_VALUE}[A-Za-z0-9._@-]{{3,}}"""
 SECRET = r"(?<![A-Za-z0-9+_-])(?=[A-Za-z+_-]*[0-9])(?=[0-9+_-]*[A-Za-z])[A-Za-z0-9+_-]{16,}"
-ENDPOINT = rf"""\b(?i:host(?:name)?|endpoint|server|base_?url)\b{_VALUE}[A-Za-z0-9][A-Za-z0-9.:/-]{{3,}}"""
+ENDPOINT = rf"""{_START}(?i:host(?:name)?|endpoint|server|base_?url){_VALUE}[A-Za-z0-9][A-Za-z0-9.:/-]{{3,}}"""
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ["assign", "access", "hex", "identifier", "secret", "endpoint"]

@@ -24,30 +24,32 @@ ENTITIES = [
     ("&nbsp;", " "), ("&amp;", "&"),
 ]
 # Elements whose content is no text, and those that end a line.
-HIDDEN = "script|style|noscript|template"
+HIDDEN = ["script", "style", "noscript", "template"]
 BLOCKS = (
     "address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main"
     "|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 )
+_BLANK = r"[\t-\r ]"
 
 
 def plain_text(html: Column) -> Column:
     """Text of a page: hidden elements and comments out, block elements as line ends."""
     text = F.coalesce(html, F.lit(""))
     text = F.regexp_replace(text, r"(?s)<!--.*?(-->|\z)", " ")
-    text = F.regexp_replace(text, rf"(?is)<({HIDDEN})\b[^>]*>.*?(</\1\s*>|\z)", " ")
-    text = F.regexp_replace(text, r"\s+", " ")
+    for element in HIDDEN:
+        text = F.regexp_replace(text, rf"(?is)<{element}\b[^>]*>.*?(</{element}{_BLANK}*>|\z)", " ")
+    text = F.regexp_replace(text, rf"{_BLANK}+", " ")
     text = F.regexp_replace(text, rf"(?i)</?({BLOCKS})\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"</?[A-Za-z!][^>]*>", "")
     for entity, character in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(character))
     text = F.regexp_replace(text, r" *\n[ \n]*", "\n")
-    return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
+    return F.regexp_replace(text, r"\A[ \n]+|[ \n]+\z", "")
 
 
 def page_title(html: Column) -> Column:
     found = F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title\b[^>]*>(.*?)</title", 1)
-    return F.trim(F.regexp_replace(found, r"\s+", " "))
+    return F.trim(F.regexp_replace(found, rf"{_BLANK}+", " "))
 
 
 def digest(block: Column) -> Column:
@@ -112,7 +114,7 @@ def derivatives(source: DataFrame, keep: list[str] | None = None) -> DataFrame:
         _header("conversion", F.col("conversion_id")),
         _header("source-block-digest", F.col("source_block_digest")),
         _header("source-payload-digest", F.col("source_payload_digest")),
-        F.regexp_replace("source_headers", r"(?m)^(?=[^\r\n])", "source-header: "),
+        F.regexp_replace("source_headers", r"([^\r\n]+\r?\n?)", "source-header: $1"),
     )
     pair = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.col("metadata_id").alias("record_id"),
