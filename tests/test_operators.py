@@ -108,11 +108,48 @@ def test_spreading_hot_keys_changes_nothing(spark, how):
     )
     right = spark.range(400).select(F.col("id").cast("string").alias("k"), (F.col("id") * 2).alias("v"))
     right = right.unionByName(spark.createDataFrame([("hot", -1), ("hot", -2), (None, -3)], "k string, v long"))
-    assert set(skew.hot_keys(left, "k", 100)) == {"hot"}
-    spread = skew.join_spreading_hot_keys(left, right, "k", ["id"], how, hot_rows=100)
+    assert [tuple(r) for r in skew.hot_keys(left, "k", 100).collect()] == [("hot", 3)]
     expected = left.join(right, "k", how)
-    assert spread.columns == expected.columns
-    assert sorted(map(str, spread.collect())) == sorted(map(str, expected.collect()))
+    for spread in (
+        skew.join_spreading_hot_keys(left, right, "k", ["id"], how, hot_rows=100),
+        skew.join_with_salts(left, right, "k", ["id"], how, hot_rows=100),
+    ):
+        assert spread.columns == expected.columns
+        assert sorted(map(str, spread.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_every_hot_key_is_spread(spark):
+    left = spark.range(9000).select((F.col("id") % 1500).alias("k"), "id")
+    left = left.unionByName(spark.range(100).select(F.lit(7).cast("long").alias("k"), (F.col("id") + 9000).alias("id")))
+    right = spark.range(1500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    salts = {r.k: r["_salts"] for r in skew.hot_keys(left, "k", 6).collect()}
+    assert len(salts) == 1500 and salts[7] == 18 and salts[8] == 2
+    joined = skew.join_with_salts(left, right, "k", ["id"], "inner", hot_rows=6)
+    assert joined.count() == 9100 and joined.where("v != 2 * k").isEmpty()
+
+
+def test_a_machine_local_folder_is_for_local_masters_only():
+    from txloom import session
+
+    for master in ("local", "local[4]", "local[*]", "local[2,3]"):
+        assert session.local_folder(master)
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            session.local_folder(master)
+
+
+def test_positions_evaluate_their_input_twice(spark, tmp_path):
+    spark.range(5000).select((F.col("id") * 3).alias("tx_id")).write.parquet(str(tmp_path / "ids"))
+    plan = I.row_positions(spark.read.parquet(str(tmp_path / "ids")), "tx_id")._jdf.queryExecution().executedPlan().toString()
+    # The other evaluation is the saved count per range.
+    assert plan.count("FileScan parquet") == 1
+
+
+def test_conditions_are_not_named_like_columns(tx_of):
+    txs = tx_of({"a": ["1"]}).withColumn("height", F.lit(1))
+    attrs = A.explode_attributes(txs)
+    with pytest.raises(ValueError):
+        M.tx_outer_flags(txs, attrs, {"height": F.col("value") == "1"}, F.col("height"))
 
 
 def test_upserts(spark, tx_of):

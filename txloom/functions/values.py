@@ -183,3 +183,10 @@ def like_regex_column(pattern: Column) -> Column:
 def path_regex(pattern: str) -> str:
     """Whole-path regex in which `*` stands for any run of path characters."""
     return "^" + r"[\w.:*-]*".join(quote_regex(p) for p in pattern.split("*")) + r"\z"
+
+
+def path_regex_column(pattern: Column) -> Column:
+    """`path_regex` for patterns held in a column."""
+    quoted = F.regexp_replace(pattern, _SPECIAL.pattern, r"\\$1")
+    any_run = F.replace(quoted, F.lit(r"\*"), F.lit(r"[\w.:*-]*"))
+    return F.concat(F.lit("^"), any_run, F.lit(r"\z"))

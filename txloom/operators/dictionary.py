@@ -15,10 +15,19 @@ from txloom.session import shared_folder
 
 
 class Upsert(NamedTuple):
-    """`new` rows to append, and `found`: id and key of everything requested."""
+    """`new` rows to append, and `known`: id and key of what the dictionary has already."""
 
     new: DataFrame
-    found: DataFrame
+    known: DataFrame
+
+    @property
+    def found(self) -> DataFrame:
+        """Id and key of everything requested."""
+        return self.with_new(self.new)
+
+    def with_new(self, stored: DataFrame) -> DataFrame:
+        """The same, with the new rows as they were stored, which need not be numbered again."""
+        return self.known.unionByName(stored.select(self.known.columns))
 
 
 def last_id(dictionary: DataFrame, id_col: str):
@@ -54,7 +63,7 @@ def insert_if_absent(
     keys = keys.checkpoint()
     known = existing_rows(keys, dictionary.select(id_col, key), key).checkpoint()
     new = numbered(keys.join(known.select(key), key, "left_anti"))
-    return Upsert(new, known.unionByName(new.select(id_col, key)))
+    return Upsert(new, known)
 
 
 # --- paths ------------------------------------------------------------------
@@ -86,22 +95,23 @@ def upsert_paths(keys: DataFrame, paths: DataFrame, start=None) -> Upsert:
 def value_keys(attrs: DataFrame) -> DataFrame:
     """Each distinct value as a dictionary row without id.
 
-    The map-side half of `distinct` drops repeats before the shuffle; parsing and
-    hashing are done once per distinct value.
+    The map-side half of the aggregation drops repeats before the shuffle. Where the
+    fingerprint is stored already it is the key, and the text comes along; else texts are
+    made distinct first, and parsed and hashed once each.
     """
     value = F.col("value")
-    return (
-        attrs.where("value IS NOT NULL")
-        .select("value")
-        .distinct()
-        .select(
-            V.value_fingerprint(value).alias("value_hash"),
-            V.quantity_text(value).alias("qty_text"),
-            V.quantity_key(V.quantity_text(value)).alias("qty_key"),
-            V.quantity_unit(value).alias("unit"),
-            V.value_text(value).alias("value_text"),
-            V.value_bytes(value).alias("value_bytes"),
-        )
+    given = attrs.where("value IS NOT NULL")
+    if "value_hash" in attrs.columns:
+        once = given.groupBy("value_hash").agg(F.first("value").alias("value"))
+    else:
+        once = given.select("value").distinct().withColumn("value_hash", V.value_fingerprint(value))
+    return once.select(
+        "value_hash",
+        V.quantity_text(value).alias("qty_text"),
+        V.quantity_key(V.quantity_text(value)).alias("qty_key"),
+        V.quantity_unit(value).alias("unit"),
+        V.value_text(value).alias("value_text"),
+        V.value_bytes(value).alias("value_bytes"),
     )
 
 

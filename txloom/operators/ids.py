@@ -60,10 +60,12 @@ def row_positions(df: DataFrame, id_col: str) -> DataFrame:
     """Add `row_idx` (from 0, in id order) and `row_total`.
 
     Ids are unique, so an id range of 2^20 holds at most 2^20 rows: each range is
-    ranked by itself. Range totals are summed in two levels.
+    ranked by itself. Range totals, one saved row per range, are summed in two levels; so
+    `df` is evaluated twice, once for its ids alone.
     """
+    shared_folder(df.sparkSession)
     bucket = F.shiftright(F.col(id_col), _BITS)
-    sizes = df.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
+    sizes = df.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n")).checkpoint()
     grouped = sizes.withColumn("_group", F.shiftright("_bucket", _BITS))
     groups = grouped.groupBy("_group").agg(F.sum("_n").alias("_size"))
     everything = Window.orderBy("_group").rowsBetween(

@@ -60,8 +60,12 @@ def tx_outer_flags(
     `where` refers to the names of `conditions`; each stands for "some value
     matched". One pass over the attributes, whose partial aggregation leaves at
     most one row per transaction and task before the shuffle. Where `where`
-    cannot hold without a match, Catalyst makes the outer join an inner one.
+    cannot hold without a match, Catalyst makes the outer join an inner one. A
+    condition cannot be named like a column of `tx`, which would stand for either.
     """
+    columns = {c.lower() for c in tx.columns}
+    if taken := sorted(name for name in conditions if {name.lower(), f"_{name.lower()}"} & columns):
+        raise ValueError(f"conditions named like columns: {taken}")
     relevant = None
     for condition in conditions.values():
         relevant = condition if relevant is None else relevant | condition
@@ -79,8 +83,8 @@ def attr_in_table(tx: DataFrame, attrs: DataFrame, path: str, members: DataFrame
     """Transactions with a value under the path from a large set.
 
     `members` has a column `value`. Distinct first, so that it stays as small as it
-    can be; the optimizer broadcasts it if its measured size allows, and otherwise
-    rows of frequent values are spread.
+    can be; it is broadcast if it measures small, and otherwise rows of frequent values
+    are spread.
     """
     here = attrs.where(on_path(path)).select("tx_id", "value")
     hits = join_spreading_hot_keys(here, members.select("value").distinct(), "value", ["tx_id"], "left_semi")

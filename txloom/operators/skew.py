@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txloom.session import shared_folder
+
 # A key is hot from this many rows on: more than one task should hold.
 HOT_ROWS = 1_000_000
-# Only so many are looked at; any other key has less than 1/HOT_KEYS of the rows.
-HOT_KEYS = 1000
-MAX_SALTS = 4096
 
 # What may be sent to every executor.
 BROADCAST_ROWS = 1_000_000
@@ -27,14 +26,15 @@ def fits_broadcast(df: DataFrame, *also: Column):
     return (small, *rest) if also else small
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> dict:
-    """The most frequent keys with their row counts, at most HOT_KEYS of them.
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(key, salts): every key of at least `hot_rows` rows and how many tasks it needs.
 
-    One pass over the key column; repeats are counted before the shuffle.
+    One pass over the key column; repeats are counted before the shuffle. All such keys
+    are listed, at most one per `hot_rows` rows of `df`.
     """
-    counts = df.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
-    top = counts.where(F.col("n") >= hot_rows).orderBy(F.desc("n")).limit(HOT_KEYS)
-    return {row.k: row.n for row in top.collect() if row.k is not None}
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    hot = counts.where(F.col("_n") >= hot_rows)
+    return hot.select(key, F.greatest(F.lit(2), F.ceil(F.col("_n") / hot_rows)).cast("int").alias("_salts"))
 
 
 def join_spreading_hot_keys(
@@ -47,17 +47,30 @@ def join_spreading_hot_keys(
 ) -> DataFrame:
     """`left.join(right, key, how)` with the rows of hot keys spread over tasks.
 
-    `spread_by` are left columns that tell the rows of one key apart; only the
-    `right` rows of hot keys are repeated. `how` is inner, left, left_semi or left_anti.
-    Which keys are hot changes the speed and never the result.
+    A right side that measures small is broadcast, and then no key is counted. Else each
+    hot key gets as many salts as it has times `hot_rows` rows, and only the `right` rows
+    of hot keys are repeated, each by its own number. `spread_by` are left columns that
+    tell the rows of one key apart. `how` is inner, left, left_semi or left_anti. Which
+    keys are hot changes the speed and never the result.
     """
-    hot = hot_keys(left, key, hot_rows)
-    if not hot:
+    if fits_broadcast(right):
+        return left.join(F.broadcast(right), key, how)
+    return join_with_salts(left, right, key, spread_by, how, hot_rows)
+
+
+def join_with_salts(
+    left: DataFrame, right: DataFrame, key: str, spread_by: list[str], how: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """The way for a large right side."""
+    shared_folder(left.sparkSession)
+    hot = hot_keys(left, key, hot_rows).checkpoint()
+    small, rows = fits_broadcast(hot, F.count("*"))
+    if rows == 0:
         return left.join(right, key, how)
-    salts = min(MAX_SALTS, max(2, -(-max(hot.values()) // hot_rows)))
-    is_hot = F.coalesce(F.col(key).isin(list(hot)), F.lit(False))
-    salt: Column = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    spread = left.withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0)))
-    every = F.sequence(F.lit(0), F.when(is_hot, F.lit(salts - 1)).otherwise(F.lit(0)))
-    repeated = right.withColumn("_salt", F.explode(every))
+    named = F.broadcast(hot) if small else hot
+    salts = F.coalesce("_salts", F.lit(1))
+    salt = F.pmod(F.xxhash64(*spread_by), salts).cast("int")
+    spread = left.join(named, key, "left").withColumn("_salt", salt).drop("_salts")
+    every = F.explode(F.sequence(F.lit(0), salts - 1))
+    repeated = right.join(named, key, "left").withColumn("_salt", every).drop("_salts")
     return spread.join(repeated, [key, "_salt"], how).drop("_salt")

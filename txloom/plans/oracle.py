@@ -100,10 +100,22 @@ def some(path: str, condition: str) -> str:
     return f"EXISTS (SELECT 1 FROM attrs a WHERE a.tx_id = t.tx_id AND a.path = '{path}' AND ({condition}))"
 
 
+def flagged(conditions: dict[str, tuple[str, str]], where: str, columns: str = "tx_id") -> str:
+    """Transactions by a combination of conditions (path, SQL on `value`), in one pass."""
+    flags = ", ".join(f"bool_or(path = '{p}' AND ({c})) AS {n}" for n, (p, c) in conditions.items())
+    paths = ", ".join(f"'{p}'" for p in dict.fromkeys(p for p, _ in conditions.values()))
+    held = ", ".join(f"coalesce({n}, false) AS {n}" for n in conditions)
+    return (
+        _with(ATTRS, TX, f"flags AS (SELECT tx_id, {flags} FROM attrs WHERE path IN ({paths}) GROUP BY tx_id)")
+        + f"SELECT {columns} FROM (SELECT tx.*, {held} FROM tx LEFT JOIN flags USING (tx_id)) WHERE {where}"
+    )
+
+
 def matching(where: str, columns: str = "tx_id") -> str:
     return _with(ATTRS, TX) + f"SELECT {columns} FROM tx t WHERE {where}"
 
 
+NO_UNIT = "''"
 LONGEST = "(SELECT text FROM documents ORDER BY length(text) DESC, doc_id LIMIT 1)"
 RICH = some("transfer.amount", compare(">", "5000000", "'uscrt'"))
 LIVE = "cents > 5000 AND action <> 'error'"
@@ -139,22 +151,26 @@ for _name, _where in _PREDICATES.items():
     SQL[_name] = SQL[f"{_name}_indexed"] = matching(_where)
 
 _TREE = (
-    some("message.module", "value = 'bank'")
-    + " AND ("
-    + some("transfer.amount", compare(">", "9000000", "'uscrt'"))
-    + " OR "
-    + some("wasm.quantity", compare("<=", "2", "''"))
-    + " OR NOT "
-    + some("transfer.amount", "true")
-    + ")"
+    {
+        "bank": ("message.module", "value = 'bank'"),
+        "dear": ("transfer.amount", compare(">", "9000000", "'uscrt'")),
+        "few": ("wasm.quantity", compare("<=", "2", "''")),
+        "paid": ("transfer.amount", "true"),
+    },
+    "bank AND (dear OR few OR NOT paid)",
 )
 
 SQL |= {
     "attr_in_table": matching(
         some("transfer.recipient", "value IN (SELECT 'supp' || s_suppkey FROM supplier WHERE s_acctbal > 5000)")
     ),
-    "all_of": matching(
-        some("message.module", "value = 'compute'") + f" AND {RICH} AND " + some("wasm.refund", "true")
+    "all_of": flagged(
+        {
+            "compute": ("message.module", "value = 'compute'"),
+            "rich": ("transfer.amount", compare(">", "5000000", "'uscrt'")),
+            "refund": ("wasm.refund", "true"),
+        },
+        "compute AND rich AND refund",
     ),
     "any_of": matching(
         some("message.module", "value = 'gov'")
@@ -163,8 +179,8 @@ SQL |= {
         + " OR "
         + some("message.sender", "value = 'addr7'")
     ),
-    "mixed_tree": matching(_TREE),
-    "tx_outer_flags": matching(_TREE, "tx_id, height"),
+    "mixed_tree": flagged(*_TREE),
+    "tx_outer_flags": flagged(*_TREE, "tx_id, height"),
     "tx_semijoin": matching(some("wasm.quantity", compare(">=", "48", "''")), "tx_id, tx_hash"),
     "tx_antijoin": matching("NOT " + some("transfer.amount", "true"), "tx_id, tx_hash"),
     "distinct_transactions": matching(some("transfer.amount", "true")),
@@ -219,9 +235,8 @@ SQL |= {
     "matching_attributes": _with(ATTRS) + _RICH_ROWS,
     "matching_facts": _with(ATTRS) + _RICH_ROWS,
     "rehydrate": _with(ATTRS, TX)
-    + "SELECT b.tx_id, b.path, b.value FROM attrs b SEMI JOIN (SELECT tx_id FROM tx t WHERE "
-    + some("transfer.amount", compare(">", "9000000", "'uscrt'"))
-    + ") m ON m.tx_id = b.tx_id",
+    + "SELECT b.tx_id, b.path, b.value FROM attrs b SEMI JOIN (SELECT a.tx_id FROM attrs a SEMI JOIN tx USING (tx_id) "
+    + f"WHERE path = 'transfer.amount' AND {compare('>', '9000000', "'uscrt'")}) m ON m.tx_id = b.tx_id",
     "encode_attributes": _with(ATTRS, *_DICTIONARIES)
     + "SELECT tx_id, path_id, value_id FROM attrs JOIN p USING (path) JOIN v USING (value)",
     "decode_facts": _with(ATTRS) + "SELECT tx_id, path, value FROM attrs",
@@ -262,6 +277,7 @@ FROM clicks WHERE cents > 5000 AND action = 'click'"""
 SQL |= {
     "search_txs": _RECORDS,
     "search_indexed": _RECORDS,
+    "search_facts": _RECORDS,
     "deliver_batches": _with(ATTRS, TX, f"m AS (SELECT tx_id FROM tx t WHERE {RICH})")
     + f"""SELECT tx_id, (row_number() OVER (ORDER BY tx_id) - 1) // {SEARCH_BATCH} AS batch_no,
     CAST((row_number() OVER (ORDER BY tx_id) - 1) // {SEARCH_BATCH} = (count(*) OVER () - 1) // {SEARCH_BATCH} AS BIGINT)
@@ -307,6 +323,9 @@ SQL |= {
     "parse_messages": _with(CLICKS)
     + f"""SELECT tx_id, CASE action WHEN 'error' THEN 'error' WHEN 'signup' THEN 'unreadable' ELSE 'ok' END AS kind,
     CASE action WHEN 'error' THEN sender WHEN 'signup' THEN '' ELSE '{TX_TYPE}' END AS detail FROM clicks""",
+    "parse_messages_incomplete": _with(CLICKS)
+    + """SELECT tx_id, CASE WHEN action = 'error' THEN 'error' WHEN action = 'signup' THEN 'unreadable'
+    WHEN tx_id % 3 = 0 THEN 'no hash' WHEN tx_id % 3 = 1 THEN 'no height' ELSE 'ok' END AS kind FROM clicks""",
     "route_by_type": _with(CLICKS)
     + f"SELECT 'tx' AS kind, count(*) AS n FROM clicks WHERE {GOOD} UNION ALL SELECT 'block', count(*) FROM clicks",
     "block_headers": _with(CLICKS)
@@ -398,6 +417,11 @@ FROM s JOIN q USING (tx_id) WHERE rich OR few GROUP BY sub_id""",
     "dedupe_by_hash": _with(CLICKS) + "SELECT tx_id, tx_hash, height FROM clicks",
     "stream_filter": _with(CLICKS) + f"SELECT tx_id, tx_hash, height FROM clicks WHERE {LIVE}",
     "backfill_then_live": _with(CLICKS) + f"SELECT tx_id, tx_hash, height FROM clicks WHERE {LIVE}",
+    "backfill_quiet": _with(CLICKS)
+    + f"SELECT tx_id, tx_hash, height FROM clicks WHERE {LIVE} AND ts < TIMESTAMP '2024-01-20'",
+    "stream_raw_fan_out": _with(CLICKS)
+    + f"""SELECT tx_hash, height, 'clicks' AS sub_id FROM clicks WHERE {GOOD} AND action = 'click'
+UNION ALL SELECT tx_hash, height, 'dear' FROM clicks WHERE {GOOD} AND cents > 10000""",
     "stream_fan_out": _with(CLICKS) + _LIVE_FAN_OUT,
     "stream_match_counts": _with(CLICKS, f"f AS ({_LIVE_FAN_OUT})")
     + "SELECT sub_id, count(*) AS matches FROM f GROUP BY sub_id",
@@ -428,3 +452,22 @@ SQL |= {
     )
     + "SELECT new_id AS tx_id, path_id, value_id FROM r JOIN p USING (path) JOIN v USING (value)",
 }
+
+_WILD = {
+    "three": ("three", "starts_with(path, 'wasm.') AND value = '3'"),
+    "large": ("large", f"starts_with(path, 'wasm.') AND {compare('>', '48', NO_UNIT)}"),
+    "refund": ("any", "ends_with(path, '.refund')"),
+}
+SQL["fan_out_table_wildcard"] = (
+    _with(
+        ATTRS,
+        TX,
+        "f AS (SELECT tx_id, bool_or(starts_with(path, 'wasm.')) AS wasm, bool_or(path = 'message.module' AND value = 'bank') AS bank, "
+        + ", ".join(f"bool_or({c}) AS {n}" for n, (_, c) in _WILD.items())
+        + " FROM attrs SEMI JOIN tx USING (tx_id) GROUP BY tx_id)",
+    )
+    + """SELECT tx_id, 'three' AS sub_id FROM f WHERE three
+UNION ALL SELECT tx_id, 'none' FROM f WHERE NOT wasm
+UNION ALL SELECT tx_id, 'large' FROM f WHERE large AND bank
+UNION ALL SELECT tx_id, 'any' FROM f WHERE refund"""
+)

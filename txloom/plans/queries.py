@@ -415,6 +415,22 @@ def search_indexed(spark, folder):
     return _flat_records(found)
 
 
+@query
+def search_facts(spark, folder):
+    """The same search over facts and dictionaries; no event map is read."""
+    txs = _stored_messages(spark, folder)
+    attrs = A.explode_attributes(txs)
+    paths = I.assign_ids(attrs.select(F.col("path").alias("path_text")).distinct(), ["path_text"], "path_id")
+    values = I.assign_ids_by_hash(X.value_keys(attrs), "value_hash", "value_id")
+    facts = X.encode_attributes(attrs, paths, values)
+    conditions = {
+        "rich": R.attr_gt("transfer.amount", "5000uscrt"),
+        "click": R.attr_eq("message.action", "click"),
+    }
+    where = F.col("rich") & F.col("click")
+    return _flat_records(S.search_facts(txs, facts, paths, values, conditions, where, "rich clicks"))
+
+
 @query
 def deliver_batches(spark, folder):
     found = W.order_txs(spark, folder).where(P.attr_gt("transfer.amount", "5000000uscrt"))
@@ -523,6 +539,20 @@ def parse_messages(spark, folder):
     return good.unionByName(bad)
 
 
+@query
+def parse_messages_incomplete(spark, folder):
+    """Every third message has lost its hash, and every third its height."""
+    third = F.col("tx_id") % 3
+    text = (
+        F.when(third == 0, F.replace("value", F.lit('"tx.hash"'), F.lit('"tx.none"')))
+        .when(third == 1, F.replace("value", F.lit('"height":'), F.lit('"level":')))
+        .otherwise(F.col("value"))
+    )
+    accepted, rejected = G.parse_messages(_raw(spark, folder).withColumn("value", text))
+    good = accepted.select("tx_id", F.lit("ok").alias("kind"))
+    return good.unionByName(rejected.select("tx_id", F.col("reason").alias("kind")))
+
+
 @query
 def route_by_type(spark, folder):
     events = W.stored_events(spark, folder)
@@ -636,6 +666,19 @@ def fan_out_table(spark, folder):
     return C.fan_out_table(W.order_txs(spark, folder), held)
 
 
+@query
+def fan_out_table_wildcard(spark, folder):
+    """Filters that name their paths by a wildcard, alone and beside a value."""
+    held = [
+        ("three", 0, 0, "wasm.*", "=", "3", None),
+        ("none", 0, 0, "wasm.*", "not exists", None, None),
+        ("large", 0, 0, "wasm.*", ">", "48", None),
+        ("large", 0, 1, "message.module", "=", "bank", None),
+        ("any", 0, 0, "*.refund", "exists", None, None),
+    ]
+    return C.fan_out_table(W.order_txs(spark, folder), spark.createDataFrame(held, C.CONDITIONS_DDL))
+
+
 @query
 def fan_out_many(spark, folder):
     """Two clauses for every supplier: a large sale, or one of a few units."""
@@ -693,6 +736,26 @@ def stream_fan_out_table(spark, folder):
     return spark.read.parquet(sink).select("tx_id", "sub_id")
 
 
+@query
+def stream_raw_fan_out(spark, folder):
+    """Raw messages straight to subscribers, before they have ids; one filter is broken."""
+    held = [
+        ("clicks", 0, 0, "message.action", "=", "click", None),
+        ("dear", 0, 0, "transfer.amount", ">", "10000uscrt", None),
+        ("broken", 0, 0, "transfer.amount", ">", "abc", None),
+        ("half broken", 0, 0, "message.action", "=", "click", None),
+        ("half broken", 1, 0, "message.action", "~", "click", None),
+    ]
+    raw = W.event_messages(W.live_events(spark, folder)).withColumnRenamed("ts", "arrived")
+    txs, _ = G.route_by_type(G.parse_messages(raw)[0])
+    rows = G.transaction_rows(txs, F.col("arrived"))
+    sink, checkpoint = scratch(spark, "raw"), scratch(spark, "raw-checkpoint")
+    C.stream_fan_out_table(
+        rows, lambda session: session.createDataFrame(held, C.CONDITIONS_DDL), sink, checkpoint, "tx_hash", whole=True
+    ).awaitTermination()
+    return spark.read.parquet(sink).select("tx_hash", "height", "sub_id")
+
+
 @query
 def dedupe_by_hash(spark, folder):
     txs = _clicks(spark, folder)
@@ -784,6 +847,16 @@ def backfill_then_live(spark, folder):
     return spark.read.parquet(sink).select("tx_id", "tx_hash", "height")
 
 
+@query
+def backfill_quiet(spark, folder):
+    """Stored matches are delivered although the stream has no rows."""
+    history = _clicks(spark, folder).where(F.col("ts") < _at("2024-01-20"))
+    live = _live(spark, folder).where("tx_id < 0")
+    sink = scratch(spark, "quiet")
+    L.backfill_then_live(history, live, _live_filter(), sink, scratch(spark, "quiet-checkpoint")).awaitTermination()
+    return spark.read.parquet(sink).select("tx_id", "tx_hash", "height")
+
+
 def _index_live(spark: SparkSession, folder: str) -> str:
     root = scratch(spark, "store")
     raw = W.event_messages(W.live_events(spark, folder)).withColumnRenamed("ts", "arrived")
@@ -814,8 +887,10 @@ def stream_rejected(spark, folder):
 
 @query
 def stream_retention(spark, folder):
-    """The store after one expiry run."""
+    """The store after the expiry runs of its stream."""
     root = _index_live(spark, folder)
-    store.expire_store(spark, root, _at("2024-01-31"))
+    N.stream_retention(
+        spark, root, scratch(spark, "retention-checkpoint"), now=_at("2024-01-31"), every=None
+    ).awaitTermination()
     kept = store.read_table(spark, root, "attrs")
     return kept.groupBy("path").agg(F.count("*").alias("n"), F.count_distinct("tx_id").alias("txs"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,18 +31,25 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, also used for checkpoints.
 
     A cluster names it in `spark.checkpoint.dir`; only where neither that nor a
-    checkpoint folder is set (local tests) is a temporary one made.
+    checkpoint folder is set, and all work is in this one process (local tests), is a
+    temporary one made.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is not None:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
-    folder = named or tempfile.mkdtemp(prefix="txloom-")
-    sc.setCheckpointDir(folder)
+    sc.setCheckpointDir(named or local_folder(sc.master))
     return sc.getCheckpointDir()
 
 
+def local_folder(master: str) -> str:
+    """A temporary folder of this machine, for `local` masters only."""
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="txloom-")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

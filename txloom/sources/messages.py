@@ -41,16 +41,28 @@ def decode_messages(raw: DataFrame) -> DataFrame:
 
 
 def split_messages(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Decoded messages with a result, and those with an error or unreadable."""
-    accepted = decoded.where(F.col("result").isNotNull()).drop("value", "error")
-    reason = F.when(F.col("error").isNotNull(), F.lit("error")).otherwise(F.lit("unreadable"))
-    rejected = decoded.where(F.col("result").isNull()).withColumn("reason", reason).drop("result")
-    return accepted, rejected
+    """Decoded messages with a result, and apart from them those with an error, unreadable
+    ones, and transactions without the hash or height that they are stored and found by."""
+    read = F.col("result").isNotNull()
+    height = F.col("result.data.value.TxResult.height").try_cast("long")
+    reason = (
+        F.when(~read, F.when(F.col("error").isNotNull(), F.lit("error")).otherwise(F.lit("unreadable")))
+        .when(_is_transaction() & V.tx_hash(F.col("result.events")).isNull(), F.lit("no hash"))
+        .when(_is_transaction() & height.isNull(), F.lit("no height"))
+    )
+    judged = decoded.withColumn("reason", reason)
+    accepted = judged.where("reason IS NULL").drop("value", "error", "reason")
+    return accepted, judged.where("reason IS NOT NULL").drop("result")
+
+
+def _is_transaction() -> Column:
+    by_type = F.coalesce(F.col("result.data.type") == TX_TYPE, F.lit(False))
+    return attr_eq("tm.event", "Tx", F.col("result.events")) | by_type
 
 
 def parse_messages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Messages with a result, and apart from them those with an error or that
-    cannot be read, with the raw text."""
+    """Messages that can be used, and apart from them the others, with a reason and the
+    raw text."""
     return split_messages(decode_messages(raw))
 
 
@@ -59,9 +71,8 @@ def route_by_type(accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
     acknowledgement of a subscription) is neither."""
     events = F.col("result.events")
     kind = F.col("result.data.type")
-    is_tx = attr_eq("tm.event", "Tx", events) | F.coalesce(kind == TX_TYPE, F.lit(False))
     is_block = attr_eq("tm.event", "NewBlock", events) | F.coalesce(kind == BLOCK_TYPE, F.lit(False))
-    return accepted.where(is_tx), accepted.where(is_block)
+    return accepted.where(_is_transaction()), accepted.where(is_block)
 
 
 def block_headers(blocks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

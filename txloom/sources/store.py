@@ -136,19 +136,25 @@ def index_batch(spark: SparkSession, root: str, rows: DataFrame, batch_id: int)
     _write(paths.new, root, "paths", batch_id)
     values = upsert_values(value_keys(attrs), known("values"), last_value)
     _write(values.new, root, "values", batch_id)
-    _write(encode_attributes(attrs, paths.found, values.found, ("tx_id", "ts")), root, "facts", batch_id)
+    dictionaries = paths.with_new(written("paths")), values.with_new(written("values"))
+    _write(encode_attributes(attrs, *dictionaries, ("tx_id", "ts")), root, "facts", batch_id)
+
+    def highest(table: str, id_col: str, before: int):
+        # From the footers of the few files that the batch has just written.
+        return F.coalesce(written(table).agg(F.max(id_col)).scalar(), F.lit(before)).cast("long")
 
-    highest = {
-        "path": written("paths").agg(F.max("path_id")).first()[0] or last_path,
-        "value": written("values").agg(F.max("value_id")).first()[0] or last_value,
-    }
     progress = tx.agg(
         F.count("*").alias("n_tx"),
         F.coalesce(F.max("tx_id"), F.lit(last_tx)).alias("last_tx_id"),
-        F.lit(highest["path"]).cast("long").alias("last_path_id"),
-        F.lit(highest["value"]).cast("long").alias("last_value_id"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
+    ).select(
+        "n_tx",
+        "last_tx_id",
+        highest("paths", "path_id", last_path).alias("last_path_id"),
+        highest("values", "value_id", last_value).alias("last_value_id"),
+        "first_ts",
+        "last_ts",
     )
     _write(progress, root, "progress", batch_id)
 
@@ -160,10 +166,12 @@ def write_rejected(root: str, rejected: DataFrame, batch_id: int) -> None:
 def expire_store(
     spark: SparkSession, root: str, now: datetime | Column | None = None, hours: int = RETENTION_HOURS
 ) -> int:
-    """Hide transactions older than `hours` and delete batches that are all old.
+    """Hide transactions older than `hours` and delete batches that an earlier run hid.
 
-    No rows are scanned or rewritten: the times of each batch are in `progress`.
-    Returns the number of batches deleted.
+    A reader that began before this run may still be at what it hides, so the folders of a
+    batch go only once the cutoff of an earlier run had passed it. No rows are scanned or
+    rewritten: the times of each batch are in `progress`. Returns the number of batches
+    deleted.
     """
     moment = F.current_timestamp() if now is None else now if isinstance(now, Column) else F.lit(now)
     earlier = _read(spark, root, "retention")
@@ -175,6 +183,7 @@ def expire_store(
         .withColumn("run", F.unix_seconds("cutoff"))
         .first()
     )
+    hidden = earlier.where(F.col("cutoff") < F.lit(limit.cutoff)).agg(F.max("cutoff")).first()[0]
     if not earlier.where(F.col("cutoff") == F.lit(limit.cutoff)).take(1):
         marker = spark.createDataFrame([(limit.cutoff,)], "cutoff timestamp")
         _write(marker, root, "retention", limit.run)
@@ -183,11 +192,11 @@ def expire_store(
             _delete(spark, _folder(root, "retention", row.batch_id))
 
     last = _last_committed(spark, root)
-    if last is None:
+    if last is None or hidden is None:
         return 0
     # The last batch stays known, because the next one counts on from it.
     batches = _read(spark, root, "progress").where(F.col("batch_id") < last.batch_id)
-    old = batches.where(F.col("last_ts") < F.lit(limit.cutoff)).select("batch_id").distinct()
+    old = batches.where(F.col("last_ts") < F.lit(hidden)).select("batch_id").distinct()
     deleted = 0
     for row in old.toLocalIterator():
         for table in (*AGING, "progress"):

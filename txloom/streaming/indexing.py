@@ -53,14 +53,23 @@ def stream_heights(raw: DataFrame, arrival: str | Column) -> DataFrame:
 
 
 def stream_retention(
-    spark: SparkSession, root: str, checkpoint: str, hours: int = RETENTION_HOURS, every: str = RETENTION_PERIOD
+    spark: SparkSession,
+    root: str,
+    checkpoint: str,
+    hours: int = RETENTION_HOURS,
+    every: str | None = RETENTION_PERIOD,
+    now: Column | None = None,
 ) -> StreamingQuery:
-    """Expire the store now and then every hour."""
-    expire_store(spark, root, None, hours)
+    """Expire the store now and then every hour.
+
+    Without a period it runs once more and ends; `now` stands for the current time.
+    """
+    expire_store(spark, root, now, hours)
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        expire_store(batch.sparkSession, root, None, hours)
+        expire_store(batch.sparkSession, root, now, hours)
 
     writer = ticks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return writer.trigger(processingTime=every).start()
+    trigger = {"once": True} if every is None else {"processingTime": every}
+    return writer.trigger(**trigger).start()

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+# Number of the folder with the stored matches, before those of all batches.
+HISTORY = -1
+
 
 def stream_filter(tx: DataFrame, matches: Column) -> DataFrame:
     """Matching transactions, whole; the same filter as for stored ones."""
@@ -27,15 +30,20 @@ def match_counts(delivered: DataFrame) -> DataFrame:
 
 
 def dedupe_by_hash(tx: DataFrame, watermark: str | None = None) -> DataFrame:
-    """One row per transaction hash.
+    """One row per transaction hash; rows without a hash are all kept.
 
-    Stored: the one with the lowest id; partial aggregation removes most copies
-    before the shuffle. Stream: the first to arrive, remembered for `watermark`.
+    Stored: the one with the lowest id (or height, where rows have no id yet);
+    partial aggregation removes most copies before the shuffle. Stream: the first to
+    arrive, remembered for `watermark`.
     """
+    named, unnamed = tx.where("tx_hash IS NOT NULL"), tx.where("tx_hash IS NULL")
     if tx.isStreaming:
-        return tx.withWatermark("ts", watermark or "1 hour").dropDuplicatesWithinWatermark(["tx_hash"])
-    first = tx.groupBy("tx_hash").agg(F.min_by(F.struct(*tx.columns), "tx_id").alias("_first"))
-    return first.select("_first.*")
+        delay = watermark or "1 hour"
+        once = named.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["tx_hash"])
+        return once.unionByName(unnamed.withWatermark("ts", delay))
+    order = "tx_id" if "tx_id" in tx.columns else "height"
+    first = named.groupBy("tx_hash").agg(F.min_by(F.struct(*tx.columns), order).alias("_first"))
+    return first.select("_first.*").unionByName(unnamed)
 
 
 def not_delivered(batch: DataFrame, delivered: DataFrame) -> DataFrame:
@@ -56,21 +64,20 @@ def backfill_then_live(
 ) -> StreamingQuery:
     """Stored matches first, then matches of the stream, each transaction once.
 
-    Writes one Parquet folder per batch under `sink`, the first one with the stored
-    matches; running a batch again replaces its folder. No state is kept and no
+    Stored matches are written at once, whether or not the stream has anything: a
+    Parquet folder of their own under `sink`, which a restart leaves as it is. Each
+    batch then gets a folder; running it again replaces it. No state is kept and no
     late row is lost: repeats are found in what was delivered.
     """
     found = stream_filter(live, matches)
+    stored = dedupe_by_hash(history.where(matches))
+    stored.write.mode("ignore").parquet(f"{sink}/batch_id={HISTORY}")
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
         once = dedupe_by_hash(batch).persist()
         try:
-            if batch_id == 0:
-                stored = dedupe_by_hash(history.where(matches))
-                out = stored.unionByName(not_delivered(once, stored))
-            else:
-                earlier = batch.sparkSession.read.parquet(sink).where(F.col("batch_id") < batch_id)
-                out = not_delivered(once, earlier)
+            earlier = batch.sparkSession.read.parquet(sink).where(F.col("batch_id") < batch_id)
+            out = not_delivered(once, earlier)
             out.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
         finally:
             once.unpersist()
