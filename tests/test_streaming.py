@@ -243,6 +243,11 @@ def test_each_subscription_gets_its_own_copy(tx_of):
     assert {r.sub_id: r.matches for r in L.match_counts(delivered).collect()} == {"one": 1, "again": 1}
 
 
+def test_very_many_filters_belong_in_a_table(tx_of):
+    with pytest.raises(ValueError):
+        L.fan_out(tx_of({"a": ["1"]}), {str(i): P.attr_eq("a", i) for i in range(L.MAX_EXPRESSIONS + 1)})
+
+
 def test_dedupe_keeps_the_first(spark):
     df = spark.createDataFrame([(i, "hot" if i % 3 else f"h{i}") for i in range(300)], "tx_id long, tx_hash string")
     kept = {r.tx_hash: r.tx_id for r in L.dedupe_by_hash(df).collect()}

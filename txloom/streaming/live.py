@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+# Most filters that `fan_out` takes as expressions.
+MAX_EXPRESSIONS = 200
 # Number of the folder with the stored matches, before those of all batches.
 HISTORY = -1
 
@@ -18,8 +20,12 @@ def stream_filter(tx: DataFrame, matches: Column) -> DataFrame:
 def fan_out(tx: DataFrame, subscriptions: dict[str, Column]) -> DataFrame:
     """Every transaction once for each subscription it matches, as column `sub_id`.
 
-    One scan and no shuffle for all filters together.
+    One scan and no shuffle for all filters together. Each filter is an expression of its
+    own, so work and plan grow with their number; beyond MAX_EXPRESSIONS they belong in
+    `conditions.fan_out_table`.
     """
+    if len(subscriptions) > MAX_EXPRESSIONS:
+        raise ValueError(f"more than {MAX_EXPRESSIONS} filters: use conditions.fan_out_table")
     hits = F.array_compact(F.array(*[F.when(f, F.lit(s)) for s, f in subscriptions.items()]))
     return tx.withColumn("sub_id", F.explode(hits))
 
