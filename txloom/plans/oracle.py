@@ -443,6 +443,7 @@ _STORED = (
     "r AS (SELECT new_id, tx_hash, path, value FROM click_attrs JOIN g ON click = tx_id)",
 )
 SQL |= {
+    "stream_index_batches": _with(*_STORED) + "SELECT tx_hash, path, value FROM r",
     "stream_index": _with(*_STORED) + "SELECT new_id AS tx_id, tx_hash, path, value FROM r",
     "append_facts": _with(
         *_STORED,

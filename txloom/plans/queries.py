@@ -873,6 +873,19 @@ def stream_index(spark, folder):
     return decoded.join(txs.select("tx_id", "tx_hash"), "tx_id").select("tx_id", "tx_hash", "path", "value")
 
 
+@query
+def stream_index_batches(spark, folder):
+    """The same stream in three micro-batches; later ones find known paths and values."""
+    raw = W.event_messages(W.stored_events(spark, folder)).withColumnRenamed("ts", "arrived")
+    parts, root = scratch(spark, "messages"), scratch(spark, "store")
+    raw.repartition(3, "tx_id").write.parquet(parts)
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(parts)
+    N.stream_index(stream, root, scratch(spark, "batches-checkpoint"), F.col("arrived")).awaitTermination()
+    txs, facts, paths, values = [store.read_table(spark, root, t) for t in ("transactions", "facts", "paths", "values")]
+    decoded = X.decode_facts(facts, paths, values)
+    return decoded.join(txs.select("tx_id", "tx_hash"), "tx_id").select("tx_hash", "path", "value")
+
+
 @query
 def append_facts(spark, folder):
     """Links as stored, with the ids of their batch."""
