@@ -199,3 +199,81 @@ def test_warc_records_are_linked(spark, tmp_path):
     data = b"".join(gzip.open(p).read() for p in (tmp_path / "warc").glob("*.gz")).decode()
     assert data.count("WARC/1.1\r\nWARC-Type: ") == 8 and data.endswith("\r\n\r\n")
     assert warc.derivatives(source.limit(0)).count() == 0
+
+
+def python_templates(rows, s):
+    """The tree of templates with plain loops: (host, shape) -> (template, labelled, bad)."""
+    import re
+    from collections import Counter
+
+    def shape(path):
+        parts = path.split("/")
+        parts = parts[: s.depth + 1] + ["**"] if len(parts) > s.depth + 1 else parts
+        uuid = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+        parts = [re.sub(rf"{uuid}|\b(?=[a-f]*[0-9])[0-9a-f]{{12,}}\b", "{x}", p, flags=re.I | re.A) for p in parts]
+        return tuple(re.sub("[0-9]+", "{n}", p) for p in parts)
+
+    trees = defaultdict(Counter)
+    for host, path, label in rows:
+        trees[host or "", shape(path or "")].update(n=1, bad=label == 1, good=label == 0)
+    prefix = {key: "" for key in trees}
+    for level in range(1, s.depth + 2):
+        inner = [k for k in trees if len(k[1]) > level]
+        segment = {k: k[1][level] for k in inner}
+        each, node = Counter(), defaultdict(Counter)
+        for k in inner:
+            each[k[0], prefix[k], segment[k]] += trees[k]["n"]
+        for (host, before, name), n in each.items():
+            node[host, before][name] = n
+        for k in inner:
+            children = node[k[0], prefix[k]]
+            if len(children) > s.max_children and children[segment[k]] < sum(children.values()) * s.rare_share:
+                segment[k] = "*"
+        branches = defaultdict(lambda: defaultdict(list))
+        for k in inner:
+            branches[k[0], prefix[k]][segment[k]].append(k)
+
+        def spread(keys):
+            out = Counter()
+            for k in keys:
+                out[k[1][level + 1] if len(k[1]) > level + 1 else ""] += trees[k]["n"]
+            return out, sum(out.values())
+
+        def rate(keys, name):
+            return sum(trees[k][name] for k in keys) / sum(trees[k]["n"] for k in keys)
+
+        for (_, _), own in branches.items():
+            if len(own) < 2:
+                continue
+            every = [k for keys in own.values() for k in keys]
+            pool, total = spread(every)
+            for keys in own.values():
+                here, n = spread(keys)
+                distance = sum(max(0, here[x] / n - pool[x] / total) for x in here)
+                if distance <= s.distance and all(abs(rate(keys, c) - rate(every, c)) <= s.label_gap for c in ("bad", "good")):
+                    for k in keys:
+                        segment[k] = "+"
+        for k in inner:
+            prefix[k] += "/" + segment[k]
+    sums = defaultdict(Counter)
+    for k, t in prefix.items():
+        sums[k[0], t].update(labelled=trees[k]["bad"] + trees[k]["good"], bad=trees[k]["bad"])
+    return {(k[0], "/".join(k[1])): (t, sums[k[0], t]["labelled"], sums[k[0], t]["bad"]) for k, t in prefix.items()}
+
+
+def test_templates_like_plain_loops(spark):
+    rng = random.Random(8)
+    names = ["en", "de", "news", "item", "p", "x1", "00aa11bb22cc33dd", "a-b"]
+    rows = []
+    for _ in range(600):
+        parts = [rng.choice(names) if rng.random() < 0.7 else f"s{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(rng.randint(0, 9))]
+        rows.append((rng.choice(["h", "h", "g", "k", None]), "/".join(["", *parts, str(rng.randint(0, 99))]), rng.choice([0, 1, 1, None, None])))
+    rows += [("g", "", None), ("g", None, 1)]
+    s = url_filter.Settings(max_children=6, rare_share=0.05, distance=0.3, label_gap=0.3, depth=4)
+    found = url_filter.path_templates(spark.createDataFrame(rows, "host string, path string, label int"), s).collect()
+    expected = python_templates(rows, s)
+    assert {(r.host, r.shape): (r.template, r.labelled) for r in found} == {k: v[:2] for k, v in expected.items()}
+    for r in found:
+        labelled, bad = expected[r.host, r.shape][1:]
+        assert r.purity == pytest.approx((bad + 2.0) / (labelled + 4.0))
+        assert r.rejected == (labelled >= 5 and (bad + 2.0) / (labelled + 4.0) >= 0.8)
