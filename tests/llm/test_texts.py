@@ -159,8 +159,7 @@ def test_suffix_tree_scores(spark, awkward, nothing):
         w, out = rng.choice("abc"), []
         for _ in range(20):
             out.append(w)
-            w = follow[w] if rng.random() < 0.8 else rng.choice("abcdefg" if rng.random() < 0.9 else ["rare%d" % rng.randint(0, 999)])
-            w = w if w in follow or rng.random() < 0.5 else "a"
+            w = follow.get(w, "a") if rng.random() < 0.8 else rng.choice("abcdefg" if rng.random() < 0.9 else ["rare%d" % rng.randint(0, 999)])
         texts.append(" ".join(out))
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     model, vocabulary = suffix_tree.train(df, settings=suffix_tree.Settings(least_share=1e-3))

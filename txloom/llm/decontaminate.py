@@ -100,7 +100,7 @@ def _bitmap(shingles: DataFrame) -> np.ndarray:
 
 
 def _wanted(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    bit = hashes & np.uint64(MAP_BITS - 1)
+    bit = hashes & np.uint64(64 * len(bitmap) - 1)
     return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)) == 1
 
 

@@ -239,9 +239,12 @@ def train(docs: DataFrame, text: str = "text", settings: Settings = Settings())
     # At most 1 / least_share rows.
     frequent = vocabulary.where((F.col("n") >= least) | (F.col("key") == int(END.view(np.int64))))
     rows = frequent.toArrow()
-    keys = rows.column("key").to_numpy().view(np.uint64)
+    keys, counts = rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    if not len(keys):
+        # Without training texts; END is a context all the same.
+        keys, counts = np.array([END]), np.zeros(1, np.int64)
     order = np.argsort(keys)
-    model = Model(keys[order], rows.column("n").to_numpy()[order], [], int(total), int(distinct))
+    model = Model(keys[order], counts[order], [], int(total), int(distinct))
     # A token is a context as often as it occurs: END stands before each text's first token.
     occurrences = model.counts.astype(np.float64)
     spark = docs.sparkSession
@@ -262,11 +265,11 @@ def train(docs: DataFrame, text: str = "text", settings: Settings = Settings())
         counted = _counted(docs, text, keys_of).where(F.col("n") >= least)
         found = counted.toArrow()
         pairs = list(zip(found.column("key").to_pylist(), found.column("n").to_pylist()))
+        if not pairs:
+            break
         model.levels.append(_level(model, pairs, occurrences, s))
         # The next contexts are these transitions, as often as they occur.
         occurrences = np.array([n for _, n in sorted(pairs)], np.float64)
-        if not len(occurrences):
-            break
     return model, vocabulary
 
 
@@ -292,7 +295,8 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, text: str = "tex
             for begin, end, tokens, first in _parts(batch.column(text)):
                 numbers = _numbers(tree.tokens, tokens)
                 known = numbers >= 0
-                base = np.where(known, tree.root(tree.counts[np.maximum(numbers, 0)]), 0.0)
+                counts = np.where(known, tree.counts[np.maximum(numbers, 0)], 0)
+                base = np.where(known, tree.root(counts), 0.0)
                 gain = np.zeros(len(tokens))
                 for level, (context, taken) in zip(tree.levels, _walk(tree, tokens, first)):
                     back = np.where(context >= 0, level.back[np.maximum(context, 0)], 0.0)
@@ -314,7 +318,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, text: str = "tex
                 columns = [
                     *[part.column(n) for n in names],
                     pa.array(np.diff(first)),
-                    pa.array(np.bincount(row, known, size).astype(np.int64)),
+                    pa.array(np.bincount(row, counts > 0, size).astype(np.int64)),
                     pa.array(np.bincount(row, base, size)),
                     pa.array(np.bincount(row, gain, size)),
                     pa.ListArray.from_arrays(ends, entries),
