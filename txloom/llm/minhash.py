@@ -12,11 +12,16 @@ frequency only the first K - T + 1 are its prefix. Classes whose tokens are most
 drop out here, and frequent tokens (boilerplate that many documents share) come last.
 
 Candidates. A group of very many near copies would make all its pairs, so each class is first
-compared with one class only: the least one of its groups that it meets most often. What
-that joins is one component. A second round takes pairs of different components under one
-token, the smaller components' classes against the others: collisions are counted on
-sketches of the signatures, and those with T and fitting sizes are kept. So no link between
-different components is lost, and links inside one need not be known.
+compared with one class only: of those that lead a group by having the most frequent tokens,
+as the original of many copies has, the one that it meets most often. What that joins is
+one component. Later rounds take pairs of different components under one token, the
+smaller components' classes against the others: first only against a few delegates of the
+largest, which most of those that belong to it meet, and at last against all. There,
+a pair also has to share one of the rarest shingles of both sets, early enough in their
+order that enough can follow (prefix and position); copies that differ too much from all
+others meet none, however many they are. Collisions are counted on sketches of the
+signatures, of which a pair needs T. So no link between different components is lost, and
+links inside one need not be known.
 
 Links are confirmed on full sets, which are made anew for the classes in question only.
 """
@@ -51,13 +56,15 @@ WORD_BYTE[[32, 9, 10, 11, 12, 13]] = False
 @dataclass(frozen=True)
 class Settings:
     """shingle: words of a shingle. percent: least similarity of a link, in percent.
-    coordinates, matches: K and T. map_bits: size of the map that says whose sets are made."""
+    coordinates, matches: K and T. map_bits: size of the map that says whose sets are made.
+    delegates: of the largest component, in the round before the last; changes no result."""
 
     shingle: int = 5
     percent: int = 80
     coordinates: int = 64
     matches: int = 32
     map_bits: int = 1 << 26
+    delegates: int = 8
 
 
 def _seeds(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +127,10 @@ def _signed(docs: DataFrame, id_col: str, text: str, s: Settings) -> DataFrame:
 
 
 def _postings(classes: DataFrame, s: Settings) -> DataFrame:
-    """(class, token) for the prefix of each class that shares enough tokens."""
+    """(class, token, weight) for the prefix of each class that shares enough tokens.
+
+    `weight` is the sum of the frequencies of all its tokens.
+    """
     each = classes.select("class", F.posexplode("coordinates").alias("at", "value"))
     token = F.shiftleft(F.col("at").cast("long"), 32) + F.col("value")
     tokens = each.select("class", token.alias("token"))
@@ -130,7 +140,8 @@ def _postings(classes: DataFrame, s: Settings) -> DataFrame:
     lists = own.agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("tokens"))
     length = F.size("tokens") - s.matches + 1
     prefix = F.slice("tokens", F.lit(1), F.greatest(length, F.lit(0)))
-    return lists.select("class", F.explode(prefix).alias("t")).select("class", "t.token")
+    weight = F.aggregate("tokens.n", F.lit(0).cast("long"), lambda acc, n: acc + n)
+    return lists.select("class", weight.alias("weight"), F.explode(prefix).alias("t")).select("class", "t.token", "weight")
 
 
 def _map_of(classes: DataFrame, bits: int) -> np.ndarray:
@@ -170,10 +181,8 @@ def _sets(docs: DataFrame, text: str, wanted: DataFrame, s: Settings) -> DataFra
     return made.groupBy("class").agg(F.first("members").alias("members"))
 
 
-def _confirmed(docs: DataFrame, text: str, pairs: DataFrame, s: Settings) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = _sets(docs, text, wanted, s)
     first = pairs.join(sets.select(F.col("class").alias("a"), F.col("members").alias("set_a")), "a")
     both = first.join(sets.select(F.col("class").alias("b"), F.col("members").alias("set_b")), "b")
 
@@ -189,6 +198,33 @@ def _confirmed(docs: DataFrame, text: str, pairs: DataFrame, s: Settings) -> Dat
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def _rarest(sets: DataFrame, s: Settings) -> DataFrame:
+    """(class, token, place): the members that one of must be common to two similar sets.
+
+    In the order of their frequency in all `sets`, with members that one set has alone
+    first. A set of n members leaves out so many of its last that any similar one has
+    another in common; `place` counts from 0 over all of its members.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, members in zip(batch.column("class").to_pylist(), batch.column("members")):
+                values = np.frombuffer(members.as_buffer(), np.int64)
+                columns = [np.full(len(values), one), np.full(len(values), len(values)), values]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["class", "size", "token"])
+
+    each = sets.select("class", "members").mapInArrow(run, "class long, size long, token long")
+    several = each.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    lists = each.join(several, "token").groupBy("class", "size")
+    # As many as the set has.
+    lists = lists.agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("tokens"))
+    alone = (F.col("size") - F.size("tokens")).cast("int")
+    last = F.expr(f"cast(size - (size * {s.percent} + 99) div 100 as int)")
+    prefix = F.slice("tokens", F.lit(1), F.greatest(last - alone + 1, F.lit(0)))
+    rows = lists.select("class", alone.alias("alone"), F.posexplode(prefix).alias("at", "t"))
+    return rows.select("class", "t.token", (F.col("alone") + F.col("at")).alias("place"))
+
+
 def _sketch(coordinates, part: int):
     """Four bits of each of 16 coordinates, as one number."""
     values = F.slice(coordinates, part * 16 + 1, 16)
@@ -206,6 +242,43 @@ def _agreements(left: list[str], right: list[str]):
     return total
 
 
+def _meetings(postings: DataFrame, joined: DataFrame) -> DataFrame:
+    """`postings` with their `component`, and the largest (`most`) under their token; only of
+    tokens under which different components meet."""
+    placed = postings.join(joined.withColumnRenamed("node", "class"), "class", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "class"))
+    counted = placed.groupBy("token", "component").agg(F.count("*").alias("size"))
+    largest = F.max_by("component", F.struct("size", "component")).alias("most")
+    mixed = counted.groupBy("token").agg(largest, F.count("*").alias("kinds")).where("kinds > 1")
+    return placed.join(mixed.select("token", "most"), "token")
+
+
+def _pairs(there: DataFrame, sketches: list[str], delegates: int | None, s: Settings) -> DataFrame:
+    """Pairs (a, b) of classes of different components under one token, as far as sizes,
+    places and collisions allow links; with `delegates`, only those with the
+    heaviest classes of the largest component, one of each of so many parts."""
+    few, other = there.where("component != most"), there
+    if delegates is not None:
+        part = F.pmod(F.xxhash64("class"), F.lit(delegates))
+        own = [c for c in there.columns if c != "token"]
+        heaviest = F.max_by(F.struct(*own), F.struct("weight", "class")).alias("h")
+        other = there.where("component = most").groupBy("token", part).agg(heaviest).select("token", "h.*")
+    renamed = [F.col(c).alias(f"{c}_b") for c in ("class", "component", "n", "place", *sketches)]
+    pairs = few.drop("most").join(other.select("token", "most", *renamed), "token")
+    # Members that similar sets of these sizes have in common at least.
+    needed = F.expr(f"((n + n_b) * {s.percent} + {99 + s.percent}) div {100 + s.percent}")
+    pairs = pairs.where(
+        (F.col("component") != F.col("component_b"))
+        # Pairs of two smaller components stand on both sides: one of them is enough.
+        & ((F.col("component_b") == F.col("most")) | (F.col("class") < F.col("class_b")))
+        & (100 * F.least("n", "n_b") >= s.percent * F.greatest("n", "n_b"))
+        & (F.col("n") - F.col("place") >= needed)
+        & (F.col("n_b") - F.col("place_b") >= needed)
+        & (_agreements(sketches, [f"{c}_b" for c in sketches]) >= s.matches)
+    )
+    return pairs.select(F.col("class").alias("a"), F.col("class_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of `docs`.
 
@@ -223,36 +296,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     )
     classes = saved(classes, "classes")
     postings = saved(_postings(classes, s), "postings")
-    groups = postings.groupBy("token").agg(F.min("class").alias("leader"), F.count("*").alias("size")).where("size > 1")
+    leader = F.max_by("class", F.struct("weight", "class")).alias("leader")
+    groups = postings.groupBy("token").agg(leader, F.count("*").alias("size")).where("size > 1")
     met = postings.join(groups.select("token", "leader"), "token").where("class != leader")
     met = met.groupBy("class", "leader").agg(F.count("*").alias("times"))
     stars = met.groupBy("class").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader"))
-    links = saved(_confirmed(docs, text, saved(stars.select(F.col("class").alias("a"), F.col("leader").alias("b")), "stars"), s), "links")
+    stars = saved(stars.select(F.col("class").alias("a"), F.col("leader").alias("b")), "stars")
+    ends = stars.select(F.col("a").alias("class")).unionByName(stars.select(F.col("b").alias("class")))
+    links = saved(_confirmed(stars, _sets(docs, text, ends.distinct(), s), s), "links")
     joined = saved(components(links), "components")
 
     sketches = [f"s{k}" for k in range(s.coordinates // 16)]
     short = classes.select("class", "n", *[_sketch("coordinates", k).alias(name) for k, name in enumerate(sketches)])
-    label = F.coalesce("component", F.col("class"))
-    placed = postings.join(joined.withColumnRenamed("node", "class"), "class", "left").select("class", "token", label.alias("component"))
-    placed = saved(placed.join(short, "class"), "placed")
-    # Tokens under which different components meet, and the largest of these.
-    counted = placed.groupBy("token", "component").agg(F.count("*").alias("size"))
-    mixed = counted.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("most"), F.count("*").alias("kinds"))
-    mixed = mixed.where("kinds > 1").select("token", "most")
-    there = placed.join(mixed, "token")
-    few = there.where("component != most")
-    renamed = [F.col(c).alias(f"{c}_b") for c in ("class", "component", "n", *sketches)]
-    pairs = few.drop("most").join(there.select("token", "most", *renamed), "token")
-    pairs = pairs.where(
-        (F.col("component") != F.col("component_b"))
-        # Pairs of two smaller components stand on both sides: one of them is enough.
-        & ((F.col("component_b") == F.col("most")) | (F.col("class") < F.col("class_b")))
-        & (100 * F.least("n", "n_b") >= s.percent * F.greatest("n", "n_b"))
-        & (_agreements(sketches, [f"{c}_b" for c in sketches]) >= s.matches)
-    )
-    pairs = saved(pairs.select(F.col("class").alias("a"), F.col("class_b").alias("b")).distinct(), "pairs")
-    links = saved(_confirmed(docs, text, pairs, s), "links").unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    joined = saved(components(links), "components").withColumnRenamed("node", "class")
+    meeting = _meetings(postings, joined).select("class").distinct()
+    sets = saved(_sets(docs, text, meeting, s), "sets")
+    weights = postings.select("class", "weight").distinct()
+    rare = saved(_rarest(sets, s).join(short, "class").join(weights, "class"), "rarest")
+    for delegates in (s.delegates, None):
+        there = saved(_meetings(rare, joined), "there")
+        pairs = saved(_pairs(there, sketches, delegates, s), "pairs")
+        links = saved(_confirmed(pairs, sets, s), "links").unionByName(
+            joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        )
+        joined = saved(components(links), "components")
+    joined = joined.withColumnRenamed("node", "class")
     named = classes.select("class", "id").join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     of_class = named.join(least, "component").select("class", "component_id")
