@@ -63,7 +63,7 @@ _ROWS = 64
 
 #: Pieces that a Python worker keeps with their tokens before it starts anew, the longest
 #: that are merged side by side, and how many of them at once.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 400_000
 CACHE_PIECE_BYTES = 64
 MERGED_PIECES = 20_000
 # No such pair of tokens.
@@ -183,11 +183,8 @@ class Vocabulary:
     """Tokens by rank, and the pieces merged so far."""
 
     def __init__(self, file: bytes):
-        pairs = (line.split() for line in file.splitlines() if line)
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
+        self.ranks = _read(file)
+        self.tokens = _tokens(self.ranks)
         self.lengths = np.array([len(t) for t in self.tokens], np.int32)
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         # Every pair of tokens that make a token, as one number, and the token.
@@ -329,6 +326,18 @@ class Vocabulary:
         return tuple(out)
 
 
+def _read(file: bytes) -> dict[bytes, int]:
+    pairs = (line.split() for line in file.splitlines() if line)
+    return {base64.b64decode(token): int(rank) for token, rank in pairs}
+
+
+def _tokens(ranks: dict[bytes, int]) -> list[bytes]:
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
 _loaded: dict[int, Vocabulary] = {}
 
 
@@ -404,7 +413,8 @@ def decode(encoded: DataFrame, ranks: bytes, ids: str = "token_ids") -> DataFram
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _vocabulary(shared.value).tokens
+        # Decoding needs the tokens alone, not the pairs.
+        tokens = _tokens(_read(shared.value))
         for batch in batches:
             out = []
             for row in range(len(batch)):
