@@ -190,6 +190,20 @@ def test_suffix_tree_is_a_distribution(spark):
             assert sum(10 ** next_log(short, context, w) for w in words) == pytest.approx(1)
 
 
+def test_suffix_tree_is_the_same_at_every_size(spark):
+    """A context that occurs often enough is a state, whatever its share of the corpus: what
+    share is sent to the workers changes no score."""
+    rng = random.Random(5)
+    texts = ["p q r s", "p q r s", "q t", *["p q r s u"] * 60, *["r q v"] * 40, *["w q r"] * 30]
+    texts += [" ".join("abcdefghij"[rng.randint(0, 9)] for _ in range(40)) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    scores = []
+    for share in (1e-9, 1e-2, 1.0):
+        model, table = suffix_tree.train(df, settings=suffix_tree.Settings(least_share=share))
+        scores.append([r.score for r in suffix_tree.score(df, model, table).orderBy("k").collect()])
+    assert scores[1] == pytest.approx(scores[0]) and scores[2] == pytest.approx(scores[0])
+
+
 def next_log(model, context, word):
     """log10 probability of a token number (-1: unknown) after token numbers."""
     import numpy as np
