@@ -127,6 +127,20 @@ def test_language_accuracy_and_awkward_rows(spark, awkward, nothing):
     assert language.predict(nothing, model).count() == 0
 
 
+def test_copies_do_not_empty_a_language(spark):
+    """A language of few texts in many copies is learned, and so is a table of one text."""
+    small = language.Settings(train_rows=20, landmarks=10, features=1 << 10)
+    copies = spark.range(20000).selectExpr("'ein einziger Satz ' || (id % 4) as text", "'de' as lang")
+    others = spark.range(200).selectExpr("'some quite other words ' || id || chr(97 + id % 26) as text", "'en' as lang")
+    model = language.train(copies.union(others), "text", "lang", small)
+    assert model.languages == ["de", "en"]
+    found = language.predict(copies.union(others), model).where("lang_pred <> lang").count()
+    assert found == 0
+    for words in ("ein Satz", "un deux trois", "one two", "uno due", "raz dwa trzy"):
+        one = spark.range(20000).select(F.lit(words).alias("text"), F.lit("xx").alias("lang"))
+        assert language.train(one, "text", "lang", small).languages == ["xx"]
+
+
 def test_kernel_is_shared_presence():
     import numpy as np
 

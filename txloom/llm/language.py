@@ -120,9 +120,9 @@ class Model:
 def train(labelled: DataFrame, text: str, lang: str, settings: Settings = Settings()) -> Model:
     """A model of `labelled`; rows without text or language are not used.
 
-    Of each language, rows whose text's hash is low enough for about twice its share of
-    `train_rows` are taken, equal texts once, and of these the lowest; so the sample does
-    not depend on how rows are spread, and copies cannot fill it. Only presence bits of
+    Of each language its share of `train_rows` is taken, or all distinct texts if there are
+    fewer: those with the lowest hashes, equal texts once. So the sample does not depend on how
+    rows are spread, and copies can neither fill it nor empty it. Only presence bits of
     the sampled, whole texts come to the driver: `train_rows * features / 8` bytes at most.
     Without labelled rows every prediction is `und`.
     """
@@ -130,16 +130,19 @@ def train(labelled: DataFrame, text: str, lang: str, settings: Settings = Settin
     usable = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(text).alias("text"), F.col(lang).alias("lang")
     )
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    usable = usable.withColumn("h", F.xxhash64("text"))
+    distinct = usable.groupBy("lang", "h").agg(F.count("*").alias("n"))
+    counts = distinct.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
     top = counts.orderBy(F.desc("n"), "lang").limit(s.train_languages).collect()
-    top = {row.lang: row.n for row in sorted(top, key=lambda row: row.lang)}
+    top = {row.lang: row.texts for row in sorted(top, key=lambda row: row.lang)}
     if not top:
         return Model(np.zeros((1, s.features), np.float32), np.zeros((1, 0), np.float32), [], s)
     quota = max(1, s.train_rows // len(top))
+    # Of the distinct hashes, enough are below the rate that fewer than the quota have a chance
+    # below 1e-15; a language with few has all of them.
     rates = usable.sparkSession.createDataFrame(
-        [(name, min(1.0, 2.0 * quota / n)) for name, n in top.items()], "lang string, rate double"
+        [(name, min(1.0, (2.0 * quota + 64) / n)) for name, n in top.items()], "lang string, rate double"
     )
-    usable = usable.withColumn("h", F.xxhash64("text"))
     unit = F.shiftrightunsigned("h", 11) / float(1 << 53)
     # One row per learned language, `train_languages` at most.
     some = usable.join(F.broadcast(rates), "lang").where(unit < F.col("rate"))
