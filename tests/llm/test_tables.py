@@ -37,6 +37,19 @@ def test_shards_are_even_runs(spark, awkward, nothing, monkeypatch, exact):
     assert hilbert.shard(nothing, dims, [F.col("doc_id")]).count() == 0
 
 
+def test_cells_of_many_strings_are_exact(spark, monkeypatch):
+    """Equal-depth cells of string and number columns, beyond MAX_CLASSES values as below."""
+    rows = [("s%d" % (i * i % 311), i % 7 / 2) for i in range(500)] + [("s5", None)] * 300 + [(None, 1.5)] * 40
+    df = spark.createDataFrame(rows, "source string, x double")
+    for name, at in (("source", 0), ("x", 1)):
+        values = sorted((r[at] for r in rows), key=lambda v: (v is not None, v))
+        least = {v: values.index(v) * 16 // len(rows) for v in set(values)}
+        for most in (1 << 16, 2):
+            monkeypatch.setattr(hilbert, "MAX_CLASSES", most)
+            found = hilbert._cell_of(df.withColumn("k", F.col(name)), "k", "cell", 4).collect()
+            assert sorted((str(r[name]), r.cell) for r in found) == sorted((str(r[at]), least[r[at]]) for r in rows)
+
+
 def test_written_shards_hold_all_rows(spark, awkward, tmp_path):
     placed = hilbert.shard(awkward, [hilbert.size_class(F.col("n_chars"))], [F.col("doc_id")], shards=3)
     hilbert.write_shards(placed, str(tmp_path / "out"), 3)

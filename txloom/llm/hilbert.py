@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from txloom.llm.common import fresh
 from txloom.operators.ids import assign_ids
+from txloom.session import shared_folder
 
 # The curve is a table of 2^(dimensions * bits) rows; that many are broadcast.
 MAX_CURVE_BITS = 16
-# Values of a dimension that are told apart exactly; their counts fit one sort.
+# Values of a dimension whose counts fit one sort; more are range-sorted, with the same cells.
 MAX_CLASSES = 1 << 16
 
 
@@ -59,22 +60,42 @@ def _cell_of(df: DataFrame, key: str, cell: str, bits: int) -> DataFrame:
 
     The cell is the share of rows with a smaller value, in 2^bits parts; null is the
     smallest value. Counts are aggregated before they move, so a value that most rows
-    have costs nothing, and come back by a broadcast of at most MAX_CLASSES rows.
+    have costs nothing. Cells follow the order of values, so what comes back by a broadcast
+    is each cell's least value, 2^bits at most.
     """
     sizes = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
+    order = F.col("_key").asc_nulls_first()
     if sizes.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
-        # Too many values to sort in one task: cut at approximate quantiles.
-        parts = 1 << bits
-        shares = [i / parts for i in range(1, parts)]
-        cuts = df.agg(F.percentile_approx(key, shares, 10_000)).first()[0]
-        part = sum(((F.col(key) > F.lit(c)).cast("int") for c in cuts), F.lit(0))
-        return df.withColumn(cell, F.coalesce(part, F.lit(0))).drop(key)
-    before = F.sum("_n").over(Window.orderBy(F.col("_key").asc_nulls_first())) - F.col("_n")
-    total = F.sum("_n").over(Window.partitionBy(F.lit(0)))
-    cells = sizes.select("_key", before.alias("_before"), total.alias("_total")).select(
-        "_key", F.expr(f"cast(_before * {1 << bits} div _total as int)").alias(cell)
+        # Sorted and saved, so that places do not shift; offsets are one row per partition.
+        shared_folder(df.sparkSession)
+        placed = sizes.orderBy(order).withColumn("_place", F.monotonically_increasing_id()).checkpoint()
+        placed = placed.withColumn("_part", F.shiftright("_place", 33))
+        offsets = placed.groupBy("_part").agg(F.sum("_n").alias("_size"))
+        earlier = F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")
+        offsets = offsets.select("_part", earlier.alias("_earlier"))
+        within = F.sum("_n").over(Window.partitionBy("_part").orderBy("_place")) - F.col("_n")
+        counted = placed.withColumn("_within", within).join(F.broadcast(offsets), "_part")
+        counted = counted.select("_key", (F.col("_earlier") + F.col("_within")).alias("_before"))
+        total = placed.agg(F.sum("_n").alias("_total"))
+    else:
+        counted = sizes.select("_key", (F.sum("_n").over(Window.orderBy(order)) - F.col("_n")).alias("_before"))
+        total = sizes.agg(F.sum("_n").alias("_total"))
+    cells = counted.where("_key is not null").crossJoin(F.broadcast(total))
+    cells = cells.groupBy(F.expr(f"cast(_before * {1 << bits} div _total as int)").alias("_at")).agg(
+        F.min("_key").alias("_least")
     )
-    return df.join(F.broadcast(cells), F.col(key).eqNullSafe(F.col("_key"))).drop(key, "_key")
+    bounds = fresh(df, "_bounds")
+    lows = cells.agg(F.sort_array(F.collect_list(F.struct("_least", "_at"))).alias(bounds))
+    # Binary search for how many cells begin at the value or before.
+    reached = F.aggregate(
+        F.lit([1 << b for b in range(bits, -1, -1)]),
+        F.lit(0),
+        lambda n, step: F.when(
+            (n + step <= F.size(bounds)) & (F.get(bounds, n + step - 1)["_least"] <= F.col(key)), n + step
+        ).otherwise(n),
+    )
+    place = F.coalesce(F.get(bounds, reached - 1)["_at"], F.lit(0))
+    return df.crossJoin(F.broadcast(lows)).withColumn(cell, place).drop(key, bounds)
 
 
 def hilbert_index(df: DataFrame, dims: list[Column], bits: int, index: str) -> DataFrame:
