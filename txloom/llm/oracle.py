@@ -27,6 +27,31 @@ WITH v AS (
 SELECT * FROM ranked WHERE rank <= 20
 """
 
+_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same,
+         CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id
+  WHERE q.vec_id % 100 = 0
+), own AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM own JOIN scored USING (anchor_id)
+WHERE NOT same AND 100 * score BETWEEN 80 * positive_score AND 100 * positive_score
+QUALIFY rank <= 5
+"""
+
 # Strong and weak patterns with their kind; the last column is what a match must contain.
 _ASSIGN = """((?i:password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 _VALUE = """["'']?\\x20*[:=]\\x20*["'']?"""
@@ -276,6 +301,7 @@ FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 
 SQL: dict[str, str] = {
     "op4_norm_bucket_top_k": _TOP_K,
+    "op12_hard_negatives": _NEGATIVES,
     "op5_secret_links": _SECRETS,
     "op6_warc_derivatives": _WARC,
     "op7_hilbert_shards": _SHARDS,

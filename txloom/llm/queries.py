@@ -5,8 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txloom.llm import bpe, decontaminate, hilbert, language, minhash, secret_scan, suffix_tree, topk, url_filter, warc
+from txloom.llm import (
+    alignment,
+    alignment,
+    bpe,
+    decontaminate,
+    hard_negatives,
+    hilbert,
+    language,
+    minhash,
+    secret_scan,
+    suffix_tree,
+    token_files,
+    topk,
+    url_filter,
+    warc,
+)
 from txloom.llm.common import table
+from txloom.session import scratch
 
 URL_RULES = [
     ("net/", "block"),
@@ -137,6 +153,34 @@ def op10_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_bytes(name: str) -> bytes:
+    with open(tokenizer_file(name), "rb") as file:
+        return file.read()
+
+
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = tokenizer_bytes("byte_bpe_50k.json"), tokenizer_bytes("piece_bpe_32k.model")
+    return alignment.align(docs, *files, keep=["doc_id"]).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.integers(rows.withColumn("label", label), "vec_id", "embedding", "label", scale=256)
+    return hard_negatives.mine(rows, rows.where(F.col("id") % 100 == 0))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = scratch(spark, "token-files")
+    token_files.write(docs, tokenizer_bytes("byte_bpe_50k.json"), folder)
+    read = token_files.read(spark, folder)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -150,5 +194,8 @@ QUERIES = {
         op8_byte_bpe,
         op9_coordinate_join_dedup,
         op10_benchmark_overlap,
+        op11_tokenizer_alignment,
+        op12_hard_negatives,
+        op13_token_files,
     )
 }
