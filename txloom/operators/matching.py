@@ -20,8 +20,9 @@ def matching_facts(
 ) -> DataFrame:
     """The same from the dictionary-coded tables: facts ⋈ paths ⋈ values.
 
-    Facts are cut down to the path first (one dictionary row unless it has a `*`);
-    what the condition says of the value Catalyst applies to the dictionary.
+    Facts are cut down to the path first (one dictionary row unless it has a `*`), and the
+    dictionary to the values that meet the condition under that path, so frequent values
+    are looked for among what is left of both.
     """
     named = paths.select("path_id", F.col("path_text").alias("path")).where(on_path(path))
     valued = values.select(
@@ -31,6 +32,8 @@ def matching_facts(
         "unit",
         "value_hash",
     )
+    if "*" not in path:
+        valued = valued.withColumn("path", F.lit(path)).where(condition).drop("path")
     here = facts.select("tx_id", "path_id", "value_id").join(named, "path_id")
     joined = join_spreading_hot_keys(here, valued, "value_id", ["tx_id", "path_id"])
     return joined.where(condition).select("tx_id", "path", "value")

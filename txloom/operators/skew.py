@@ -18,14 +18,31 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 def fits_broadcast(df: DataFrame, *also: Column):
     """Whether a table measures small, by rows and bytes.
 
-    With `also`, aggregates, their values come with the answer from the same pass.
+    Rows are counted first, which of a stored table reads no column; only the columns of a
+    table with few rows are measured. With `also`, aggregates, their values come along.
     """
-    size = F.octet_length(F.to_json(F.struct("*")))
-    rows, total, *rest = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)), *also).first()
-    small = rows <= BROADCAST_ROWS and total <= BROADCAST_BYTES
+    rows, *rest = df.agg(F.count("*"), *also).first()
+    small = rows <= BROADCAST_ROWS
+    if small and rows:
+        small = df.agg(F.sum(row_bytes(df))).first()[0] <= BROADCAST_BYTES
     return (small, *rest) if also else small
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row, about: of texts as they are, of nested columns as JSON."""
+    size = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary"):
+            size += F.coalesce(F.octet_length(column), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            size += F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+        else:
+            size += 8
+    return size
+
+
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(key, salts): every key of at least `hot_rows` rows and how many tasks it needs.
 

@@ -234,9 +234,18 @@ _RICH_ROWS = f"SELECT tx_id, path, value FROM attrs WHERE path = 'transfer.amoun
 SQL |= {
     "matching_attributes": _with(ATTRS) + _RICH_ROWS,
     "matching_facts": _with(ATTRS) + _RICH_ROWS,
-    "rehydrate": _with(ATTRS, TX)
-    + "SELECT b.tx_id, b.path, b.value FROM attrs b SEMI JOIN (SELECT a.tx_id FROM attrs a SEMI JOIN tx USING (tx_id) "
-    + f"WHERE path = 'transfer.amount' AND {compare('>', '9000000', "'uscrt'")}) m ON m.tx_id = b.tx_id",
+    # The sales of the unit decide; only rows of their transactions become attributes.
+    "rehydrate": _with(
+        """hit AS (SELECT DISTINCT l_orderkey AS k FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+    WHERE l_returnflag = 'A' AND CAST(round(l_extendedprice * 100) AS BIGINT) > 9000000)""",
+        "hit_orders AS MATERIALIZED (SELECT o.* FROM orders o SEMI JOIN hit ON k = o_orderkey)",
+        "hit_items AS MATERIALIZED (SELECT l.* FROM lineitem l SEMI JOIN hit ON k = l_orderkey)",
+        "hit_texts AS MATERIALIZED (SELECT d.* FROM documents d SEMI JOIN hit ON k = doc_id)",
+        ATTRS.replace("FROM orders", "FROM hit_orders")
+        .replace("FROM lineitem", "FROM hit_items")
+        .replace("FROM documents", "FROM hit_texts"),
+    )
+    + "SELECT tx_id, path, value FROM attrs",
     "encode_attributes": _with(ATTRS, *_DICTIONARIES)
     + "SELECT tx_id, path_id, value_id FROM attrs JOIN p USING (path) JOIN v USING (value)",
     "decode_facts": _with(ATTRS) + "SELECT tx_id, path, value FROM attrs",
@@ -472,3 +481,51 @@ UNION ALL SELECT tx_id, 'none' FROM f WHERE NOT wasm
 UNION ALL SELECT tx_id, 'large' FROM f WHERE large AND bank
 UNION ALL SELECT tx_id, 'any' FROM f WHERE refund"""
 )
+
+_TOTALS = "SELECT sub_id, count(*) AS matches, CAST(sum(tx_id) AS BIGINT) AS sum_ids FROM ({0}) GROUP BY sub_id"
+_SALES = """sales AS (SELECT l_orderkey AS tx_id, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, l_returnflag AS flag
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
+_LIMITS = """limits AS (SELECT CAST(p_partkey AS VARCHAR) AS sub_id, p_partkey * 7919 % 300000 + 10200000 AS a,
+    p_partkey * 104729 % 20000 + 90000 AS b, p_partkey * 611 % 300000 + 10200000 AS c,
+    p_partkey * 353 % 30000 + 90000 AS d FROM part)"""
+
+SQL |= {
+    "fan_out_ranges": _with(_SALES, _LIMITS)
+    + _TOTALS.format(
+        """SELECT sub_id, tx_id FROM limits JOIN sales ON flag = 'N' AND cents > a
+UNION SELECT sub_id, tx_id FROM limits JOIN sales ON flag = 'A' AND cents <= b
+UNION (SELECT sub_id, tx_id FROM limits JOIN sales ON flag = 'A' AND cents >= c
+    INTERSECT SELECT sub_id, tx_id FROM limits JOIN sales ON flag = 'N' AND cents < d)"""
+    ),
+    "fan_out_text": _with(
+        "sold AS (SELECT DISTINCT l_orderkey AS tx_id, l_suppkey AS k FROM lineitem)",
+    )
+    + _TOTALS.format(
+        """SELECT 'doc' || f.doc_id AS sub_id, m.doc_id AS tx_id
+    FROM documents f JOIN documents m ON contains(m.text, substring(f.text, 20, 12))
+    JOIN orders ON o_orderkey = m.doc_id WHERE length(f.text) >= 20
+UNION SELECT 'doc' || f.doc_id, o_orderkey FROM documents f JOIN documents m ON m.text IS NOT NULL
+    JOIN orders ON o_orderkey = m.doc_id WHERE length(f.text) < 20
+UNION SELECT 'seller' || k, tx_id FROM sold JOIN supplier ON s_suppkey = k JOIN orders ON o_orderkey = tx_id
+    WHERE substring(o_orderpriority, 2, 1) = '-'
+UNION SELECT 'seller' || s_suppkey, o_orderkey FROM orders JOIN supplier ON o_custkey % 10 = 7
+    AND ends_with('addr' || o_custkey, 'r' || s_suppkey || '7')"""
+    ),
+    "fan_out_wildcards_many": _with(
+        """sold AS (SELECT DISTINCT l_orderkey AS tx_id, 'supp' || l_suppkey AS sub_id FROM lineitem)""",
+        """q AS (SELECT l_orderkey AS tx_id, bool_or(CAST(l_quantity AS INTEGER) > 45) AS large,
+    bool_or(l_discount >= 0.09) AS refund FROM lineitem GROUP BY l_orderkey)""",
+    )
+    + _TOTALS.format(
+        """SELECT 'supp' || s_suppkey AS sub_id, tx_id FROM supplier JOIN sold ON sub_id = 'supp' || s_suppkey
+    JOIN orders ON o_orderkey = tx_id JOIN q USING (tx_id) WHERE large
+UNION SELECT 'supp' || s_suppkey, o_orderkey FROM orders JOIN supplier ON s_suppkey = o_custkey
+    LEFT JOIN q ON tx_id = o_orderkey WHERE NOT coalesce(refund, false)"""
+    ),
+    "wildcard_paths": _with(ATTRS, OWN)
+    + "SELECT pattern, path FROM (SELECT unnest(["
+    + ", ".join(f"'{p}'" for p in ["transfer.*", "*.height", "*", "w*m.*f*", "message.module", "nothing.*", "*a*t*", "*.*.*"])
+    + r"""]) AS pattern) JOIN (SELECT DISTINCT path FROM own)
+ON regexp_matches(path, '^' || replace(replace(pattern, '.', '\.'), '*', '[\w.:*-]*') || '$')""",
+    "wildcard_facts": _with(ATTRS, OWN) + r"SELECT tx_id, path, value FROM own WHERE regexp_matches(path, '\.re') AND value IS NOT NULL",
+}

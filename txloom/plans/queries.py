@@ -20,6 +20,7 @@ from txloom.operators import dictionary as X
 from txloom.operators import ids as I
 from txloom.operators import matching as M
 from txloom.operators import retention as E
+from txloom.operators.wildcards import extend, facts_under, resolve
 from txloom.plans import search as S
 from txloom.session import scratch
 from txloom.sources import messages as G
@@ -424,8 +425,8 @@ def search_facts(spark, folder):
     values = I.assign_ids_by_hash(X.value_keys(attrs), "value_hash", "value_id")
     facts = X.encode_attributes(attrs, paths, values)
     conditions = {
-        "rich": R.attr_gt("transfer.amount", "5000uscrt"),
-        "click": R.attr_eq("message.action", "click"),
+        "rich": ("transfer.amount", R.attr_gt("transfer.amount", "5000uscrt")),
+        "click": ("message.action", R.attr_eq("message.action", "click")),
     }
     where = F.col("rich") & F.col("click")
     return _flat_records(S.search_facts(txs, facts, paths, values, conditions, where, "rich clicks"))
@@ -706,6 +707,111 @@ def fan_out_many(spark, folder):
     return found.groupBy("sub_id").agg(F.count("*").alias("matches"), F.sum("tx_id").alias("sum_ids"))
 
 
+def _condition(clause: int, number: int, path: Column, op: str, arg: Column) -> Column:
+    return F.struct(
+        F.lit(clause).alias("clause"),
+        F.lit(number).alias("cond_no"),
+        path.alias("path"),
+        F.lit(op).alias("op"),
+        arg.alias("arg"),
+        F.lit(None).cast("array<string>").alias("members"),
+    )
+
+
+def _totals(found: DataFrame) -> DataFrame:
+    return found.groupBy("sub_id").agg(F.count("*").alias("matches"), F.sum("tx_id").alias("sum_ids"))
+
+
+@query
+def fan_out_ranges(spark, folder):
+    """Limits of every part on one path: sales above one, below another, or both at once."""
+    key = F.col("p_partkey")
+
+    def limit(lowest: int, step: int, width: int, unit: str) -> Column:
+        return F.concat((key * step % width + lowest).cast("string"), F.lit(unit))
+
+    amount = F.lit("transfer.amount")
+    each = F.array(
+        _condition(0, 0, amount, ">", limit(10_200_000, 7919, 300_000, "uatom")),
+        _condition(1, 0, amount, "<=", limit(90_000, 104_729, 20_000, "uscrt")),
+        _condition(2, 0, amount, ">=", limit(10_200_000, 611, 300_000, "uscrt")),
+        _condition(2, 1, amount, "<", limit(90_000, 353, 30_000, "uatom")),
+    )
+    held = W.table(spark, folder, "part").select(key.cast("string").alias("sub_id"), F.inline(each))
+    return _totals(C.fan_out_table(W.order_txs(spark, folder), held))
+
+
+@query
+def fan_out_text(spark, folder):
+    """Filters by text: a passage of every document, and the end of every supplier's name."""
+    docs = W.table(spark, folder, "documents").where("text IS NOT NULL")
+    passage = F.substring("text", 20, 12)
+    held = docs.select(
+        F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("sub_id"),
+        F.inline(F.array(_condition(0, 0, F.lit("memo.text"), "includes", passage))),
+    )
+    key = F.col("s_suppkey").cast("string")
+    sellers = W.table(spark, folder, "supplier").select(
+        F.concat(F.lit("seller"), key).alias("sub_id"),
+        F.inline(
+            F.array(
+                _condition(0, 0, F.lit("transfer.recipient"), "like", F.concat(F.lit("s_pp"), key)),
+                _condition(0, 1, F.lit("message.priority"), "like", F.lit("_-%")),
+                _condition(1, 0, F.lit("message.sender"), "like", F.concat(F.lit("%r"), key, F.lit("7"))),
+            )
+        ),
+    )
+    return _totals(C.fan_out_table(W.order_txs(spark, folder), held.unionByName(sellers)))
+
+
+@query
+def fan_out_wildcards_many(spark, folder):
+    """A filter for every supplier, whose paths are written with wildcards in several ways."""
+    key = F.col("s_suppkey")
+    name = F.concat(F.lit("supp"), key.cast("string"))
+    pattern = F.element_at(F.array(*map(F.lit, ["transfer.*", "*.recipient", "t*.rec*t"])), (key % 3 + 1).cast("int"))
+    each = F.array(
+        _condition(0, 0, pattern, "=", name),
+        _condition(0, 1, F.lit("wasm.quant*"), ">", F.lit("45")),
+        _condition(1, 0, F.lit("*.sender"), "=", F.concat(F.lit("addr"), key.cast("string"))),
+        _condition(1, 1, F.lit("wasm.ref*"), "not exists", F.lit(None).cast("string")),
+    )
+    held = W.table(spark, folder, "supplier").select(name.alias("sub_id"), F.inline(each))
+    return _totals(C.fan_out_table(W.order_txs(spark, folder), held))
+
+
+_PATTERNS = ["transfer.*", "*.height", "*", "w*m.*f*", "message.module", "nothing.*", "*a*t*", "*.*.*"]
+
+
+def _path_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    txs = _without_empty(W.order_txs(spark, folder))
+    return X.upsert_paths(X.path_keys(txs), spark.createDataFrame([], "path_id long, path_text string")).found
+
+
+@query
+def wildcard_paths(spark, folder):
+    """Patterns resolved to paths: first of transfers alone, then with all other paths and patterns."""
+    paths = _path_dictionary(spark, folder).select(F.col("path_text").alias("path"))
+    patterns = spark.createDataFrame([(p,) for p in _PATTERNS], "pattern string")
+    first = paths.where(F.col("path").startswith("transfer."))
+    resolved = resolve(patterns.where("pattern LIKE '%t%'"), first)
+    return extend(resolved, patterns, first, paths.where(~F.col("path").startswith("transfer.")))
+
+
+@query
+def wildcard_facts(spark, folder):
+    """Facts under `*.re*`, chosen by path ids."""
+    txs = _without_empty(W.order_txs(spark, folder))
+    attrs = A.explode_attributes(txs)
+    paths = _path_dictionary(spark, folder)
+    values = I.assign_ids_by_hash(X.value_keys(attrs), "value_hash", "value_id")
+    facts = X.encode_attributes(attrs, paths, values)
+    patterns = spark.createDataFrame([("*.re*",)], "pattern string")
+    resolved = resolve(patterns, paths.select(F.col("path_text").alias("path")))
+    chosen = facts_under(facts, paths, resolved, "*.re*")
+    return X.decode_facts(chosen, paths, values).select("tx_id", "path", "value")
+
+
 @query
 def stream_fan_out_table(spark, folder):
     """A filter for every user, on the stream: their dear or their many-sided clicks."""
