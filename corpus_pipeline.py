@@ -2,7 +2,7 @@
 
 Stages take all documents that their predecessor kept, with the columns of `documents`, and
 return these columns; the last returns tokens. Columns beside these are ignored. Rows without
-a doc_id pass through every stage that does not judge their text as bad.
+a doc_id are documents like others.
 """
 
 from __future__ import annotations
@@ -17,23 +17,45 @@ from txloom.llm.queries import tokenizer_file
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+# Number of a row of a stage's documents; ids may repeat or be null.
+ROW = "row_number"
+# Texts go to Python in batches of this size, as long ones do not share a worker's memory well.
+BATCH_BYTES = "8m"
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents saved with a number each, by which a later step finds them again."""
+    docs.sparkSession.conf.set(_BATCHES, BATCH_BYTES)
+    return saved(docs.select(COLUMNS).withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language (no text, or no letters in it) go."""
-    docs = docs.select(COLUMNS)
-    found = language.predict(docs, language.train(docs, "text", "lang"))
-    return found.where(F.col("lang_pred") != language.UNDETERMINED).select(COLUMNS)
+    """Documents without a recognisable language (no text, or no letters in it) go.
+
+    Documents without a label get the predicted one. Texts go to Python and do not come
+    back; its verdicts are joined where they change a document.
+    """
+    rows = numbered(docs)
+    model = language.train(rows, "text", "lang")
+    found = language.predict(rows.select(ROW, F.col("lang").isNull().alias("unlabelled"), "text"), model)
+    changed = (F.col("lang_pred") == language.UNDETERMINED) | F.col("unlabelled")
+    verdicts = saved(found.where(changed).select(ROW, "lang_pred"), "verdicts")
+    kept = F.col("lang_pred").isNull() | (F.col("lang_pred") != language.UNDETERMINED)
+    judged = rows.join(verdicts, ROW, "left").where(kept)
+    return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the least doc_id stays.
+    """Of each group of near copies (five-word shingles, similarity 0.8) the first row stays.
 
-    Rows with one doc_id are one document, and rows without any all stay.
+    Rows are told apart by their numbers, so null and repeated ids are judged by their texts.
     """
-    docs = docs.select(COLUMNS)
-    found = minhash.near_duplicates(docs)
-    gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    # Few ids, and no text, are on the right; Spark broadcasts them if they measure small.
-    return docs.join(saved(gone, "copies"), "doc_id", "left_anti").select(COLUMNS)
+    rows = numbered(docs)
+    found = minhash.near_duplicates(rows, ROW)
+    gone = saved(found.where(~F.col("kept")).select(ROW), "copies")
+    # Few numbers, and no text, are on the right; Spark broadcasts them if they measure small.
+    return rows.join(gone, ROW, "left_anti").select(COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +75,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(tokenizer_file())
     # Tokens of long texts are wide rows: batches between Spark and Python stay small, and
     # only a digest of the text goes along to the decoder.
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set(_BATCHES, BATCH_BYTES)
     text = F.encode(F.coalesce("text", F.lit("")), "utf-8")
     digested = docs.select(*COLUMNS, F.sha2(text, 256).alias("text_sha256"))
     encoded = bpe.encode(digested, ranks).drop("text", "n_chars")
@@ -79,7 +101,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; the session's settings are as before when it returns."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    before = spark.conf.get(_BATCHES)
+    try:
+        for name, stage in STAGES:
+            docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    finally:
+        spark.conf.set(_BATCHES, before)
     return docs
