@@ -47,5 +47,23 @@ def test_pipeline_stages(spark, awkward):
     assert "[SECRET]" in docs.where("doc_id = 1").first().text
     tokens = corpus_pipeline.STAGES[-1][1](spark, docs, str(FOLDER))
     assert tokens.where("lossless").count() == 6
+    assert [r.lang for r in docs.where("doc_id = 7").collect()] == ["en"]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, awkward.limit(0), str(FOLDER)).count() == 0
+
+
+def test_copies_without_an_id_or_with_a_shared_one_go(spark):
+    """Three equal texts, two of them without an id; two other rows share an id with a copy."""
+    copy = " ".join(f"word{i}" for i in range(40))
+    other = " ".join(f"another{i}" for i in range(40))
+    rows = [(1, copy), (None, copy), (None, copy), (2, other), (2, copy), (3, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs.coalesce(1), str(FOLDER)).collect()
+    assert sorted([(r.doc_id, r.text) for r in kept], key=str) == sorted([(1, copy), (2, other), (3, None), (None, "")], key=str)
+
+
+def test_the_pipeline_leaves_the_session_as_it_was(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    assert corpus_pipeline.run(spark, str(FOLDER)).where("lossless").count() > 0
+    assert spark.conf.get(setting) == before
