@@ -29,6 +29,8 @@ from txloom.llm.tokenizers import ByteLevel, Chunks, Pieces, chunk_starts, flat,
 #: Irregular pairs whose share of all irregular links is at least one in so many are sent to
 #: the workers; there are at most so many of them.
 FREQUENT_PAIRS = 1 << 17
+#: Aligned chunks that a worker keeps; each takes some hundred bytes.
+KEPT_CHUNKS = 150_000
 #: Irregular pairs that a task counts before it sends them on.
 COUNTED_PAIRS = 1 << 20
 
@@ -51,7 +53,7 @@ class Aligner:
         # Numbers in decimal, with what follows each: a comma, a bar or a semicolon.
         digits = [str(i).encode() for i in range(max(self.a.size, self.b.size))]
         self.digits = [_Bytes([d + end for d in digits]) for end in (b",", b"|", b";")]
-        self.chunks = Chunks(self._learn)
+        self.chunks = Chunks(self._learn, KEPT_CHUNKS)
 
     def _learn(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per chunk: how many A tokens, B tokens and groups (and whether bytes agree), link

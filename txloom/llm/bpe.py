@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from txloom.llm.common import chunks, span_hashes, text_buffer
+from txloom.llm.common import chunks, span_hashes, text_buffer, worker_tables
 
 # Code point classes.
 _LETTER, _NUMBER, _OTHER, _SPACE, _WHITE = range(5)
@@ -338,16 +338,13 @@ def _tokens(ranks: dict[bytes, int]) -> list[bytes]:
     return out
 
 
-_loaded: dict[int, Vocabulary] = {}
-
-
 def _vocabulary(file: bytes) -> Vocabulary:
     """The worker's vocabulary; one at a time is kept, with its cache."""
-    key = hash(file)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Vocabulary(file)
-    return _loaded[key]
+    kept, key = worker_tables("bpe"), hash(file)
+    if key not in kept:
+        kept.clear()
+        kept[key] = Vocabulary(file)
+    return kept[key]
 
 
 def _with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:

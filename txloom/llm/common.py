@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,6 +93,33 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray):
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+# What this Python worker keeps from task to task, by the operator that it is for.
+_tables: dict[str, dict] = {}
+
+
+def worker_tables(owner: str) -> dict:
+    """The tables that this worker keeps for one operator.
+
+    Spark uses workers again for whatever comes next, so an operator that begins drops the
+    tables of the others and gives their memory back.
+    """
+    others = [name for name in _tables if name != owner]
+    if others:
+        for name in others:
+            del _tables[name]
+        release()
+    return _tables.setdefault(owner, {})
+
+
+def release() -> None:
+    """Give unused memory back to the system, where its library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 _powers: list[np.ndarray] = []
 
 

@@ -30,6 +30,7 @@ from txloom.llm.common import (
     span_hashes,
     text_buffer,
     word_spans,
+    worker_tables,
 )
 
 WINDOW = 13
@@ -118,6 +119,7 @@ def _frequencies(docs: DataFrame, text: str, bitmap, sizes: list[int]) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_tables("decontaminate")
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
             for first, last in chunks(offsets):
@@ -144,6 +146,7 @@ def _postings(docs: DataFrame, text: str, bitmap, sizes: list[int]) -> DataFrame
     reach = WINDOW - SHINGLE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_tables("decontaminate")
         for batch in batches:
             data, offsets = text_buffer(batch.column(text))
             for first, last in chunks(offsets):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txloom.llm.common import chunks, text_buffer
+from txloom.llm.common import chunks, text_buffer, worker_tables
 
 #: The answer for texts without letters.
 UNDETERMINED = "und"
@@ -151,6 +151,7 @@ def train(labelled: DataFrame, text: str, lang: str, settings: Settings = Settin
     some = some.withColumn("rank", F.row_number().over(lowest)).where(F.col("rank") <= quota)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_tables("language")
         for batch in batches:
             for first, last, present, _ in _presence_parts(batch.column("text"), s):
                 packed = np.packbits(present > 0, axis=1)
@@ -211,6 +212,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_tables("language")
         known = shared.value
         names = np.array([*known.languages, UNDETERMINED], object)
         for batch in batches:

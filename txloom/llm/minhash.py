@@ -45,6 +45,7 @@ from txloom.llm.common import (
     span_hashes,
     text_buffer,
     word_spans,
+    worker_tables,
 )
 from txloom.llm.components import components
 
@@ -110,6 +111,7 @@ def _signed(docs: DataFrame, id_col: str, text: str, s: Settings) -> DataFrame:
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_tables("minhash")
         seeds = _seeds(s.coordinates)
         for batch in batches:
             sizes, classes, coordinates = [], [], []

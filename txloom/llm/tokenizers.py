@@ -17,7 +17,7 @@ from itertools import chain
 
 import numpy as np
 
-from txloom.llm.common import span_hashes
+from txloom.llm.common import span_hashes, worker_tables
 
 #: Chunks that a worker keeps, and bytes of what is kept for them, before it starts anew.
 KEPT_CHUNKS = 400_000
@@ -100,8 +100,8 @@ class Chunks:
     `learn` takes the chunks' bytes and gives (values, counts) per column.
     """
 
-    def __init__(self, learn: Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray]]]):
-        self.learn = learn
+    def __init__(self, learn: Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray]]], kept: int = KEPT_CHUNKS):
+        self.learn, self.kept = learn, kept
         self._forget()
 
     def _forget(self) -> None:
@@ -113,7 +113,7 @@ class Chunks:
         ends = np.append(starts[1:], len(data))
         hashes = span_hashes(data, starts, ends)
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > KEPT_CHUNKS or sum(c.values.nbytes for c in self.columns) > KEPT_BYTES:
+        if len(self.keys) > self.kept or sum(c.values.nbytes for c in self.columns) > KEPT_BYTES:
             self._forget()
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
@@ -205,16 +205,13 @@ class Pieces:
         return out
 
 
-_kept: dict[bytes, object] = {}
-
-
 def worker_copy(kind: str, files: tuple[bytes, ...], make: Callable[[], object]) -> object:
     """What `make` makes, kept by this Python worker for the same kind and files."""
-    key = hashlib.sha256(b"\0".join((kind.encode(), *files))).digest()
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = make()
-    return _kept[key]
+    kept, key = worker_tables(kind), hashlib.sha256(b"\0".join(files)).digest()
+    if key not in kept:
+        kept.clear()
+        kept[key] = make()
+    return kept[key]
 
 
 class Encoder:
