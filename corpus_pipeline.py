@@ -19,14 +19,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 # Number of a row of a stage's documents; ids may repeat or be null.
 ROW = "row_number"
-# Texts go to Python in batches of this size, as long ones do not share a worker's memory well.
-BATCH_BYTES = "8m"
-_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+# Texts go to Python in small batches, as long ones do not share a worker's memory well.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set what `run` sets back; a stage's result is written after the stage returns."""
+    for setting, value in BATCHES.items():
+        spark.conf.set(setting, value)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
     """The documents saved with a number each, by which a later step finds them again."""
-    docs.sparkSession.conf.set(_BATCHES, BATCH_BYTES)
+    small_batches(docs.sparkSession)
     return saved(docs.select(COLUMNS).withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
@@ -60,6 +68,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more stands in the benchmark go."""
+    small_batches(spark)
     found = decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS)
     return found.where(~F.col("contaminated")).select(COLUMNS)
 
@@ -75,7 +84,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(tokenizer_file())
     # Tokens of long texts are wide rows: batches between Spark and Python stay small, and
     # only a digest of the text goes along to the decoder.
-    spark.conf.set(_BATCHES, BATCH_BYTES)
+    small_batches(spark)
     text = F.encode(F.coalesce("text", F.lit("")), "utf-8")
     digested = docs.select(*COLUMNS, F.sha2(text, 256).alias("text_sha256"))
     encoded = bpe.encode(digested, ranks).drop("text", "n_chars")
@@ -103,10 +112,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other; the session's settings are as before when it returns."""
     docs = table(spark, sf_dir, "documents")
-    before = spark.conf.get(_BATCHES)
+    before = {setting: spark.conf.get(setting) for setting in BATCHES}
     try:
         for name, stage in STAGES:
             docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
     finally:
-        spark.conf.set(_BATCHES, before)
+        for setting, value in before.items():
+            spark.conf.set(setting, value)
     return docs

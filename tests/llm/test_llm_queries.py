@@ -63,7 +63,6 @@ def test_copies_without_an_id_or_with_a_shared_one_go(spark):
 
 
 def test_the_pipeline_leaves_the_session_as_it_was(spark):
-    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(setting)
+    before = [spark.conf.get(setting) for setting in corpus_pipeline.BATCHES]
     assert corpus_pipeline.run(spark, str(FOLDER)).where("lossless").count() > 0
-    assert spark.conf.get(setting) == before
+    assert [spark.conf.get(setting) for setting in corpus_pipeline.BATCHES] == before
