@@ -529,3 +529,8 @@ UNION SELECT 'supp' || s_suppkey, o_orderkey FROM orders JOIN supplier ON s_supp
 ON regexp_matches(path, '^' || replace(replace(pattern, '.', '\.'), '*', '[\w.:*-]*') || '$')""",
     "wildcard_facts": _with(ATTRS, OWN) + r"SELECT tx_id, path, value FROM own WHERE regexp_matches(path, '\.re') AND value IS NOT NULL",
 }
+
+SQL["search_substring"] = """SELECT doc_id AS tx_id, 'memo.text' AS path, sha256(text) AS value_sha256
+FROM documents JOIN orders ON o_orderkey = doc_id WHERE contains(text, 'and the ')
+UNION ALL SELECT l_orderkey, 'transfer.recipient', sha256('supp' || l_suppkey)
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE contains('supp' || l_suppkey, 'p1')"""

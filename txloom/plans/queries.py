@@ -19,6 +19,7 @@ from txloom.operators import delivery as D
 from txloom.operators import dictionary as X
 from txloom.operators import ids as I
 from txloom.operators import matching as M
+from txloom.operators import postings as O
 from txloom.operators import retention as E
 from txloom.operators.wildcards import extend, facts_under, resolve
 from txloom.plans import search as S
@@ -432,6 +433,26 @@ def search_facts(spark, folder):
     return _flat_records(S.search_facts(txs, facts, paths, values, conditions, where, "rich clicks"))
 
 
+@query
+def search_substring(spark, folder):
+    """A passage sought in the stored texts by postings of two batches, then merged ones."""
+    attrs = A.explode_attributes(_without_empty(W.order_txs(spark, folder)))
+    paths = _path_dictionary(spark, folder)
+    dictionary = scratch(spark, "dictionary")
+    I.assign_ids_by_hash(X.value_keys(attrs), "value_hash", "value_id").write.parquet(dictionary)
+    values = spark.read.parquet(dictionary)
+    facts = X.encode_attributes(attrs, paths, values)
+    stored, merged = scratch(spark, "postings"), scratch(spark, "postings")
+    half = values.agg(F.max("value_id")).scalar() / 2
+    O.write_postings(values.where(F.col("value_id") <= half), stored, 0)
+    O.write_postings(values.where(F.col("value_id") > half), stored, 1)
+    O.merge_postings(spark, stored, merged)
+    long = O.search_substring(facts, paths, "memo.text", O.containing(spark, merged, "and the "))
+    short = O.search_substring(facts, paths, "transfer.recipient", O.containing(spark, stored, "p1"))
+    found = long.unionByName(short)
+    return found.select("tx_id", "path", F.sha2("value", 256).alias("value_sha256"))
+
+
 @query
 def deliver_batches(spark, folder):
     found = W.order_txs(spark, folder).where(P.attr_gt("transfer.amount", "5000000uscrt"))
