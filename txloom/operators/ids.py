@@ -14,26 +14,38 @@ _PREFIX = 3
 _BITS = 20
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """`names`, each with underscores before it until no column of `df` (in any case) has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def assign_ids(df: DataFrame, order_by: list, id_col: str, start: int | Column = 0) -> DataFrame:
     """Add `id_col` = start + 1, start + 2, … in the given order.
 
     Range-sorts on the whole order (a frequent first column is split by the
     later ones) and saves the sorted rows with their partition and place in it,
     so the numbering cannot shift when a task is run again; offsets then come
-    from one small row per partition.
+    from one small row per partition. Any column of `df` stays, but for one called `id_col`.
     """
     shared_folder(df.sparkSession)
-    placed = df.orderBy(*order_by).withColumn("_place", F.monotonically_increasing_id()).checkpoint()
-    part = F.shiftright("_place", 33)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
-    offsets = sizes.select("_part", before.alias("_before"))
+    place, part, before = free_names(df, "_place", "_part", "_before")
+    placed = df.orderBy(*order_by).withColumn(place, F.monotonically_increasing_id()).checkpoint()
+    part_no = F.shiftright(place, 33)
+    sizes = placed.groupBy(part_no.alias(part)).agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.orderBy(part)) - F.col("_n")
+    offsets = sizes.select(part, earlier.alias(before))
     # One row per partition of the sort, bounded by the number of partitions.
-    numbered = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    within = F.col("_place").bitwiseAND((1 << 33) - 1)
+    numbered = placed.withColumn(part, part_no).join(F.broadcast(offsets), part)
+    within = F.col(place).bitwiseAND((1 << 33) - 1)
     start = F.lit(start) if isinstance(start, int) else start
-    new_id = (start + F.col("_before") + within + 1).cast("long")
-    return numbered.withColumn(id_col, new_id).drop("_place", "_part", "_before")
+    new_id = (start + F.col(before) + within + 1).cast("long")
+    return numbered.withColumn(id_col, new_id).drop(place, part, before)
 
 
 def assign_ids_by_hash(
@@ -45,15 +57,16 @@ def assign_ids_by_hash(
     prefix buckets, so each bucket is ranked on its own; offsets come from one
     row per bucket, a bounded number.
     """
-    bucketed = df.withColumn("_bucket", F.substring(hash_col, 1, _PREFIX))
-    sizes = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")
-    offsets = F.broadcast(sizes.select("_bucket", before.alias("_before")))
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(hash_col))
+    bucket, before, within = free_names(df, "_bucket", "_before", "_within")
+    bucketed = df.withColumn(bucket, F.substring(hash_col, 1, _PREFIX))
+    sizes = bucketed.groupBy(bucket).agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.orderBy(bucket)) - F.col("_n")
+    offsets = F.broadcast(sizes.select(bucket, earlier.alias(before)))
+    rank = F.row_number().over(Window.partitionBy(bucket).orderBy(hash_col))
     start = F.lit(start) if isinstance(start, int) else start
-    ranked = bucketed.withColumn("_within", within).join(offsets, "_bucket")
-    new_id = (start + F.col("_before") + F.col("_within")).cast("long")
-    return ranked.withColumn(id_col, new_id).drop("_bucket", "_before", "_within")
+    ranked = bucketed.withColumn(within, rank).join(offsets, bucket)
+    new_id = (start + F.col(before) + F.col(within)).cast("long")
+    return ranked.withColumn(id_col, new_id).drop(bucket, before, within)
 
 
 def row_positions(df: DataFrame, id_col: str) -> DataFrame:
