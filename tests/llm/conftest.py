@@ -6,6 +6,9 @@ CLASHING = [
     "_row", "_strong", "_weak", "secrets", "token_ids", "token_offsets", "decoded", "n_words", "n_hit",
     "items", "contaminated", "lang_pred", "score", "base_score", "n_tokens", "n_known", "hilbert",
     "shard", "slot", "_key_0", "_cell_0", "_cell_number", "_place_no", "class", "n", "kept", "host", "path",
+    "posts", "_posts", "base", "frequent", "gain", "rare", "_base", "_frequent", "_gain", "_rare", "_row_no", "rare_base",
+    "rare_known", "rare_gain", "_rejected", "_shape", "_place", "_part", "_before", "_n", "key", "times", "is_run", "start",
+    "length", "window", "shingle", "spans", "template", "purity", "rule", "verdict", "label", "segments", "segment", "prefix",
 ]
 LONG = ("lorem ipsum dolor " * 12000).strip()
 TEXTS = [

@@ -3,6 +3,7 @@
 import base64
 import math
 import random
+import time
 import re
 from collections import Counter
 
@@ -60,6 +61,45 @@ def test_weak_parts_need_their_complement(spark):
     assert kinds("user = alice password = 'hunter22'") == ["identifier", "assign"]
 
 
+def plain_links(spans, scope=secret_scan.SCOPE):
+    """Which of all spans, strong and weak, are reported, by comparing all of them."""
+    strong = [s for s in spans if s[1] < 3]
+    spans = sorted(s for s in spans if s[1] != 4 or not any(b[0] < s[2] and s[0] < b[2] for b in strong))
+    role = {0: "s", 1: "i", 2: "s", 3: "i", 4: "s", 5: "e"}
+
+    def beside(at, r):
+        a = spans[at]
+        return any(role[b[1]] == r and max(a[0], b[0]) - min(a[2], b[2]) <= scope for k, b in enumerate(spans) if k != at)
+
+    needs = {0: "", 1: "", 2: "", 3: "s", 4: "i", 5: "is"}
+    return [s for k, s in enumerate(spans) if all(beside(k, r) for r in needs[s[1]])]
+
+
+def test_links_like_all_pairs(spark):
+    rng = random.Random(11)
+    patterns = {3: secret_scan.IDENTIFIER, 4: secret_scan.SECRET, 5: secret_scan.ENDPOINT}
+    bits = ["user = alice ", "host: db.example.org ", "Zx81kQ0vLmN7rT2w ", "token=abc123 ", "password: Zx81kQ0vLmN7rT2w ", "word " * 15, "é😀 ", "AKIA" + "A1" * 8 + " "]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(60)]
+    rows = secret_scan.find_secrets(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    for r in rows:
+        weak = [(m.start(), k, m.end()) for k, p in patterns.items() for m in re.finditer(p, r.text)]
+        named = any(k != 4 for _, k, _ in weak) or any(k == 1 for _, k, _ in python_spans(r.text))
+        assert [tuple(s) for s in r.secrets] == plain_links(python_spans(r.text) + (weak if named else []))
+
+
+def test_many_spans_in_one_text(spark):
+    """The time follows the number of spans, not its square."""
+    n = 100_000
+    line = "user = alice token=abcdef12\n"
+    df = spark.createDataFrame([(line * n,)], "text string")
+    begun = time.monotonic()
+    spans = secret_scan.find_secrets(df).first().secrets
+    clean = secret_scan.redact(df).first().text
+    assert time.monotonic() - begun < 60
+    assert len(spans) == 2 * n and tuple(spans[-1]) == ((n - 1) * len(line) + 13, 0, n * len(line) - 1)
+    assert clean == "[SECRET] [SECRET]\n" * n
+
+
 def test_redaction_masks_overlapping_spans_once(spark):
     text = 'é token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end'
     clean = secret_scan.redact(spark.createDataFrame([(text,), (None,), ("plain",)], "text string"))

@@ -136,8 +136,8 @@ def _frequencies(docs: DataFrame, text: str, bitmap, sizes: list[int]) -> DataFr
     return counted.groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
-def _postings(docs: DataFrame, text: str, bitmap, sizes: list[int]) -> DataFrame:
-    """`docs` with `n_words` and `posts`: the mapped shingles with the words around them."""
+def _postings(docs: DataFrame, text: str, bitmap, sizes: list[int], posts_name: str) -> DataFrame:
+    """`docs` with `n_words` and, as `posts_name`, the mapped shingles with the words around them."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     post = pa.struct(
         [("shingle", pa.int64()), ("at", pa.int32()), ("before", pa.int32()), ("words", pa.string())]
@@ -167,11 +167,11 @@ def _postings(docs: DataFrame, text: str, bitmap, sizes: list[int]) -> DataFrame
                         )
                 own = batch.slice(first, last - first)
                 columns = [*own.columns, pa.array(np.diff(first_word)), pa.array(posts, pa.list_(post))]
-                yield pa.RecordBatch.from_arrays(columns, [*own.schema.names, "n_words", "posts"])
+                yield pa.RecordBatch.from_arrays(columns, [*own.schema.names, "n_words", posts_name])
 
     return docs.mapInArrow(
         run,
-        f"{fields}, n_words long, posts array<struct<shingle:long, at:int, before:int, words:string>>",
+        f"{fields}, n_words long, {posts_name} array<struct<shingle:long, at:int, before:int, words:string>>",
     )
 
 
@@ -215,9 +215,10 @@ def overlaps(
     rarest = F.min(F.struct("n", "shingle", "offset")).alias("rarest")
     prefix = ranked.groupBy("window", "length").agg(rarest).where("rarest.n > 0")
     prefix = saved(prefix.select("window", "length", "rarest.shingle", "rarest.offset"), "prefixes")
-    posted = _postings(docs.withColumn(key, F.monotonically_increasing_id()), text, _bitmap(prefix), sizes)
-    posted = saved(posted.select(*(keep or docs.columns), key, "n_words", "posts"), "postings")
-    posts = posted.where(F.size("posts") > 0).select(key, F.explode("posts").alias("post"))
+    post_list = fresh(docs, "_posts")
+    posted = _postings(docs.withColumn(key, F.monotonically_increasing_id()), text, _bitmap(prefix), sizes, post_list)
+    posted = saved(posted.select(*(keep or docs.columns), key, "n_words", post_list), "postings")
+    posts = posted.where(F.size(post_list) > 0).select(key, F.explode(post_list).alias("post"))
     candidates = posts.select(key, "post.*").join(prefix, "shingle")
     same = F.array_join(
         F.slice(F.split("words", " "), F.col("before") - F.col("offset") + 1, F.col("length")), " "
@@ -233,7 +234,7 @@ def overlaps(
     items_of = items_of.groupBy(key).agg(F.array_sort(F.collect_set("item")).alias("items"))
     hit = spans.select(key, _covered(F.col("spans")).cast("long").alias("n_hit")).join(items_of, key)
     none = F.expr("cast(array() as array<string>)")
-    out = posted.drop("posts").join(hit, key, "left")
+    out = posted.drop(post_list).join(hit, key, "left")
     out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0))).withColumn("items", F.coalesce("items", none))
     dirty = (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))
     return out.withColumn("contaminated", dirty).drop(key)

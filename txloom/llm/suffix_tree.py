@@ -381,6 +381,10 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, text: str = "tex
     key = fresh(docs, "_row")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.withColumn(key, F.monotonically_increasing_id())
+    frequent, base_sum, gain_sum, rare_list = (fresh(rows, c) for c in ("_frequent", "_base", "_gain", "_rare"))
+    row_no, rare_base, rare_known, rare_gain = (
+        fresh(rows, c) for c in ("_row_no", "_rare_base", "_rare_known", "_rare_gain")
+    )
     names = [*kept, key]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(names).schema.fields)
 
@@ -425,25 +429,25 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, text: str = "tex
                     pa.array(np.bincount(row, gain, size)),
                     pa.ListArray.from_arrays(ends, entries),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "n_tokens", "frequent", "base", "gain", "rare"])
+                yield pa.RecordBatch.from_arrays(columns, [*names, "n_tokens", frequent, base_sum, gain_sum, rare_list])
 
-    schema = f"{fields}, n_tokens long, frequent long, base double, gain double, rare array<struct<key:long, times:long, is_run:boolean>>"
+    schema = f"{fields}, n_tokens long, {frequent} long, {base_sum} double, {gain_sum} double, {rare_list} array<struct<key:long, times:long, is_run:boolean>>"
     passed = saved(rows.mapInArrow(run, schema), "scored")
     # Rare tokens and runs only: what is left of the corpus after the frequent ones.
-    rare = passed.select(key, F.explode("rare").alias("r")).select(key, "r.*")
+    rare = passed.select(key, F.explode(rare_list).alias("r")).select(F.col(key).alias(row_no), "r.*")
     root = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(model.total + 0.5 * (model.distinct + 1)))
     token = ~F.col("is_run")
-    seen = rare.join(vocabulary, "key", "left").groupBy(key).agg(
-        F.sum(F.when(token, F.col("times") * root).otherwise(0.0)).alias("rare_base"),
-        F.sum(F.when(token & (F.col("n") > 0), F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("times") * F.coalesce("adds", F.lit(0.0))).alias("rare_gain"),
+    seen = rare.join(vocabulary, "key", "left").groupBy(row_no).agg(
+        F.sum(F.when(token, F.col("times") * root).otherwise(0.0)).alias(rare_base),
+        F.sum(F.when(token & (F.col("n") > 0), F.col("times")).otherwise(0)).alias(rare_known),
+        F.sum(F.col("times") * F.coalesce("adds", F.lit(0.0))).alias(rare_gain),
     )
-    out = passed.drop("rare").join(seen, key, "left")
-    base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
+    out = passed.drop(rare_list).join(seen, F.col(key) == F.col(row_no), "left")
+    base = F.col(base_sum) + F.coalesce(rare_base, F.lit(0.0))
     return out.select(
         *kept,
         "n_tokens",
-        (F.col("frequent") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        (F.col(frequent) + F.coalesce(rare_known, F.lit(0))).alias("n_known"),
         base.alias("base_score"),
-        (base + F.col("gain") + F.coalesce("rare_gain", F.lit(0.0))).alias("score"),
+        (base + F.col(gain_sum) + F.coalesce(rare_gain, F.lit(0.0))).alias("score"),
     )

@@ -209,11 +209,11 @@ def filter_urls(
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     label = F.when(verdict == "block", 1).when(verdict == "allow", 0)
     templates = path_templates(base.select("host", "path", label.alias("label")), settings)
-    shape = fresh(base, "_shape")
+    shape, rejected = fresh(base, "_shape"), fresh(base, "_rejected")
     known = templates.select(
-        "host", F.col("shape").alias(shape), "template", "purity", F.col("rejected").alias("_rejected")
+        "host", F.col("shape").alias(shape), "template", "purity", F.col("rejected").alias(rejected)
     )
     judged = base.withColumn(shape, F.concat_ws("/", shapes(F.col("path"), settings.depth)))
     judged = judged.join(known, ["host", shape], "left")
-    own = F.when(F.col("_rejected"), F.lit("block")).otherwise(F.lit("allow"))
-    return judged.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, own)).drop(shape, "_rejected")
+    own = F.when(F.col(rejected), F.lit("block")).otherwise(F.lit("allow"))
+    return judged.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, own)).drop(shape, rejected)
