@@ -14,9 +14,9 @@ _PREFIX = 3
 _BITS = 20
 
 
-def free_names(df: DataFrame, *names: str) -> list[str]:
-    """`names`, each with underscores before it until no column of `df` (in any case) has it."""
-    taken = {c.lower() for c in df.columns}
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """`names`, each with underscores before it until none of `columns` (in any case) is it."""
+    taken = {c.lower() for c in columns}
     out = []
     for name in names:
         while name.lower() in taken:
@@ -34,7 +34,7 @@ def assign_ids(df: DataFrame, order_by: list, id_col: str, start: int | Column =
     from one small row per partition. Any column of `df` stays, but for one called `id_col`.
     """
     shared_folder(df.sparkSession)
-    place, part, before = free_names(df, "_place", "_part", "_before")
+    place, part, before = free_names(df.columns, "_place", "_part", "_before")
     placed = df.orderBy(*order_by).withColumn(place, F.monotonically_increasing_id()).checkpoint()
     part_no = F.shiftright(place, 33)
     sizes = placed.groupBy(part_no.alias(part)).agg(F.count("*").alias("_n"))
@@ -57,7 +57,7 @@ def assign_ids_by_hash(
     prefix buckets, so each bucket is ranked on its own; offsets come from one
     row per bucket, a bounded number.
     """
-    bucket, before, within = free_names(df, "_bucket", "_before", "_within")
+    bucket, before, within = free_names(df.columns, "_bucket", "_before", "_within")
     bucketed = df.withColumn(bucket, F.substring(hash_col, 1, _PREFIX))
     sizes = bucketed.groupBy(bucket).agg(F.count("*").alias("_n"))
     earlier = F.sum("_n").over(Window.orderBy(bucket)) - F.col("_n")

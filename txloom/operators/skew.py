@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txloom.operators.ids import free_names
 from txloom.session import shared_folder
 
 # A key is hot from this many rows on: more than one task should hold.
@@ -84,10 +85,13 @@ def join_with_salts(
     small, rows = fits_broadcast(hot, F.count("*"))
     if rows == 0:
         return left.join(right, key, how)
+    # Names that neither side has.
+    salt_no, salt_count = free_names([*left.columns, *right.columns], "_salt", "_salt_count")
+    hot = hot.withColumnRenamed("_salts", salt_count)
     named = F.broadcast(hot) if small else hot
-    salts = F.coalesce("_salts", F.lit(1))
+    salts = F.coalesce(salt_count, F.lit(1))
     salt = F.pmod(F.xxhash64(*spread_by), salts).cast("int")
-    spread = left.join(named, key, "left").withColumn("_salt", salt).drop("_salts")
+    spread = left.join(named, key, "left").withColumn(salt_no, salt).drop(salt_count)
     every = F.explode(F.sequence(F.lit(0), salts - 1))
-    repeated = right.join(named, key, "left").withColumn("_salt", every).drop("_salts")
-    return spread.join(repeated, [key, "_salt"], how).drop("_salt")
+    repeated = right.join(named, key, "left").withColumn(salt_no, every).drop(salt_count)
+    return spread.join(repeated, [key, salt_no], how).drop(salt_no)
