@@ -182,6 +182,34 @@ def test_bad_templates_are_rejected(spark):
     assert {r.template for k, r in by_shape.items() if k[1].startswith("/p/")} == {"/p/+"}
 
 
+def test_hidden_labels_are_found_by_other_hosts(spark):
+    """A fifth of the hosts show no label; their templates are judged by the rest."""
+    bad = {"/ads/{n}": True, "/win/{n}.html": True, "/news/{n}": False, "/wiki/{n}.html": False}
+    rows, truth = [], {}
+    for h in range(20):
+        host = f"{'www' if h % 2 else 'm'}.site{h // 2}.org"
+        for template, is_bad in bad.items():
+            truth[host, template] = is_bad
+            paths = [template.replace("{n}", str(h * 10 + k)) for k in range(6)]
+            rows += [(host, path, None if h % 5 == 0 else int(is_bad)) for path in paths]
+    urls = spark.createDataFrame(rows, "host string, path string, label int")
+    found = {(r.host, r.template): r for r in url_filter.shared_templates(urls).collect()}
+    assert {k: r.rejected for k, r in found.items()} == truth
+    own = {(r.host, r.template): r.rejected for r in url_filter.path_templates(urls).collect()}
+    assert not any(own[f"m.site{h // 2}.org", "/ads/{n}"] for h in (0, 10))
+    # m.site0.org shows no label, www.site0.org six bad ones, other domains 90.
+    elsewhere = (90 + 2) / (90 + 4)
+    assert found["m.site0.org", "/ads/{n}"].purity == pytest.approx((6 + 4 * elsewhere) / (6 + 4))
+    assert url_filter.shared_templates(urls.limit(0)).count() == 0
+
+
+def test_filtering_keeps_clashing_columns(spark, awkward):
+    df = awkward.withColumn("url", F.concat(F.lit("http://a.net/"), "doc_id")).withColumn("_salt", F.lit("own"))
+    rows = url_filter.filter_urls(df, "url", RULES).collect()
+    assert len(rows) == awkward.count()
+    assert all(r["_rejected"] == r["_shape"] == r["_salt"] == r["n"] == "own" for r in rows)
+
+
 def test_like_branches_merge(spark):
     rows = [("h", f"/{lang}/{i}", None) for lang in ("en", "de", "fr") for i in range(20)]
     rows += [("h", f"/api/v{i}/call", None) for i in range(3)]

@@ -4,7 +4,7 @@ Paths of a host form a tree of segments. Segments that vary (numbers, hex string
 many rare values below one node) become wildcards, and sibling branches whose children
 and labels are distributed alike are merged into one. What remains are templates such as
 `/en/{n}.html`; one whose labelled URLs are bad by a smoothed share above a limit is
-rejected. Labels come from the caller: any table of judged URLs, or the verdicts of a
+rejected. A host with few labels borrows from the same template on other hosts. Labels come from the caller: any table of judged URLs, or the verdicts of a
 short list of rules.
 
 Everything is built-in expressions, joins and aggregations. Shapes of paths are counted
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txloom.llm.common import ascii_lower, fresh
+from txloom.operators.skew import join_spreading_hot_keys
 from txloom.session import shared_folder
 
 
@@ -149,14 +150,8 @@ def _merged(trees: DataFrame, s: Settings, level: int) -> DataFrame:
     return trees.join(similar, ["host", "prefix", "segment"], "left").withColumn("segment", F.coalesce("like", "segment")).drop("like")
 
 
-def path_templates(urls: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Templates of a table (host, path, label), one row per host and path shape.
-
-    `label` is 1 for bad, 0 for good, null for unlabelled URLs. Returns host, shape,
-    template, labelled, purity (smoothed share of bad among the template's labelled URLs)
-    and rejected. Null hosts or paths count as empty. An empty table gives no rows.
-    """
-    s = settings
+def _templates(urls: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(host, shape, template), and per host and template the sums n, bad and labelled."""
     counted = (
         urls.select(
             F.coalesce("host", F.lit("")).alias("host"),
@@ -179,15 +174,71 @@ def path_templates(urls: DataFrame, settings: Settings = Settings()) -> DataFram
         trees = _merged(_children(trees, s, level), s, level)
         added = F.coalesce(F.concat(F.lit("/"), F.col("segment")), F.lit(""))
         trees = trees.withColumn("prefix", F.concat("prefix", added)).drop("segment").checkpoint()
-    judged = trees.groupBy("host", F.col("prefix").alias("template")).agg(
-        F.sum("bad").alias("bad"), F.sum(F.col("bad") + F.col("good")).alias("labelled")
+    sums = trees.groupBy("host", F.col("prefix").alias("template")).agg(
+        F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum(F.col("bad") + F.col("good")).alias("labelled")
     )
+    return trees.select("host", "shape", F.col("prefix").alias("template")), sums
+
+
+def path_templates(urls: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Templates of a table (host, path, label), one row per host and path shape.
+
+    `label` is 1 for bad, 0 for good, null for unlabelled URLs. Returns host, shape,
+    template, labelled, purity (smoothed share of bad among the template's labelled URLs)
+    and rejected. Null hosts or paths count as empty. An empty table gives no rows.
+    """
+    s = settings
+    named, sums = _templates(urls, s)
     purity = (F.col("bad") + s.prior * s.strength) / (F.col("labelled") + s.strength)
-    judged = judged.withColumn("purity", purity).withColumn(
+    judged = sums.withColumn("purity", purity).withColumn(
         "rejected", (F.col("labelled") >= s.least_labelled) & (F.col("purity") >= s.reject_at)
     )
-    named = trees.select("host", "shape", F.col("prefix").alias("template"))
-    return named.join(judged.drop("bad"), ["host", "template"])
+    return named.join(judged.drop("bad", "n"), ["host", "template"])
+
+
+def shared_templates(urls: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """`path_templates` whose purity borrows from the same template elsewhere.
+
+    Before a host's own labels are counted, its template has the purity of the other hosts
+    of its domain (the last two names), which start from that of all other domains, which
+    start from `prior`; each counts `strength` labels. No label counts twice. Unlabelled
+    URLs of a template with rare values (`*`) hold it at what it borrows, as they may have
+    little in common with the labelled ones. `labelled` counts the labels of all hosts.
+    """
+    s = settings
+    named, sums = _templates(urls, s)
+    mixed = F.array_contains(F.split("template", "/"), "*")
+    loose = F.when(mixed, F.col("n") - F.col("labelled")).otherwise(0)
+    domain = F.substring_index("host", ".", -2)
+    # No slash is in a domain and each template but the empty one begins with one.
+    own = sums.select(
+        "host", "template", "bad", F.col("labelled").alias("own_labelled"), loose.alias("loose"),
+        domain.alias("domain"), F.concat(domain, "template").alias("place"),
+    ).checkpoint()
+    domains = own.groupBy("place", "domain", "template").agg(
+        F.sum("bad").alias("domain_bad"), F.sum("own_labelled").alias("domain_labelled")
+    )
+    everywhere = domains.groupBy("template").agg(
+        F.sum("domain_bad").alias("all_bad"), F.sum("domain_labelled").alias("labelled")
+    )
+
+    def smoothed(bad: Column, labelled: Column, start: Column, weight: Column) -> Column:
+        return (bad + start * weight) / (labelled + weight)
+
+    strength = F.lit(s.strength)
+    elsewhere = smoothed(
+        F.col("all_bad") - F.col("domain_bad"), F.col("labelled") - F.col("domain_labelled"), F.lit(s.prior), strength
+    )
+    domains = join_spreading_hot_keys(domains, everywhere, "template", ["domain"])
+    domains = domains.select("place", "domain_bad", "domain_labelled", "labelled", elsewhere.alias("elsewhere")).checkpoint()
+    judged = join_spreading_hot_keys(own, domains, "place", ["host"])
+    beside = smoothed(
+        F.col("domain_bad") - F.col("bad"), F.col("domain_labelled") - F.col("own_labelled"), F.col("elsewhere"), strength
+    )
+    purity = smoothed(F.col("bad"), F.col("own_labelled"), beside, strength + F.col("loose"))
+    rejected = (F.col("labelled") >= s.least_labelled) & (F.col("purity") >= s.reject_at)
+    judged = judged.withColumn("purity", purity).select("host", "template", "labelled", "purity", rejected.alias("rejected"))
+    return named.join(judged, ["host", "template"])
 
 
 def filter_urls(
@@ -197,7 +248,7 @@ def filter_urls(
 
     The verdict is the rule's where one fits, else `block` for a rejected template and
     `allow` for any other. The rules' own verdicts are the labels that templates are
-    judged by. Null URLs and those without `://` have empty host and path, and are judged
+    judged by, as in `shared_templates`. Null URLs and those without `://` have empty host and path, and are judged
     by the template of these. Repeated rows are kept, each judged alike; columns of `pages`
     with the names of the added ones are replaced.
     """
@@ -208,12 +259,14 @@ def filter_urls(
     base = base.withColumns({c: F.coalesce(c, F.lit("")) for c in ("host", "path")})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     label = F.when(verdict == "block", 1).when(verdict == "allow", 0)
-    templates = path_templates(base.select("host", "path", label.alias("label")), settings)
+    templates = shared_templates(base.select("host", "path", label.alias("label")), settings)
     shape, rejected = fresh(base, "_shape"), fresh(base, "_rejected")
+    # Host and shape as one key; a frequent one is spread by the URL.
     known = templates.select(
-        "host", F.col("shape").alias(shape), "template", "purity", F.col("rejected").alias(rejected)
-    )
-    judged = base.withColumn(shape, F.concat_ws("/", shapes(F.col("path"), settings.depth)))
-    judged = judged.join(known, ["host", shape], "left")
+        F.concat("host", F.lit("\n"), "shape").alias(shape), "template", "purity", F.col("rejected").alias(rejected)
+    ).checkpoint()
+    place = F.concat_ws("/", shapes(F.col("path"), settings.depth))
+    judged = base.withColumn(shape, F.concat("host", F.lit("\n"), place))
+    judged = join_spreading_hot_keys(judged, known, shape, ["path"], "left")
     own = F.when(F.col(rejected), F.lit("block")).otherwise(F.lit("allow"))
     return judged.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, own)).drop(shape, rejected)
