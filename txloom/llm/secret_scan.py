@@ -165,8 +165,9 @@ def find_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> Dat
     out = out.withColumn(weak, F.when(named, parts).otherwise(none))
     # Steps with a column of their own: an expression used twice is computed twice.
     out = out.withColumn(weak, F.array_sort(F.concat(strong, weak)))
-    out = out.withColumn(weak, F.when(named, _outside(F.col(weak))).otherwise(F.col(weak)))
-    return out.withColumn("secrets", F.when(named, _linked(F.col(weak), scope)).otherwise(F.col(weak))).drop(strong, weak)
+    some = F.exists(weak, lambda s: s["kind"] >= 3)
+    out = out.withColumn(weak, F.when(some, _outside(F.col(weak))).otherwise(F.col(weak)))
+    return out.withColumn("secrets", F.when(some, _linked(F.col(weak), scope)).otherwise(F.col(weak))).drop(strong, weak)
 
 
 def span_text(spans: Column) -> Column:
