@@ -230,6 +230,72 @@ def test_suffix_tree_scores(spark, awkward, nothing):
     assert all(r.score == pytest.approx(r.base_score) for r in suffix_tree.score(awkward, untaught, none).collect())
 
 
+def tree_scores(texts, of, least=3):
+    """Scores by a suffix tree of contexts of up to two tokens, built with dictionaries."""
+    sequence = lambda t: [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + [None]
+    count, pairs, triples = Counter(), Counter(), Counter()
+    for t in texts:
+        before, run = None, None
+        for w in sequence(t):
+            count[w] += 1
+            pairs[before, w] += 1
+            if run is not None:
+                triples[run, w] += 1
+            before, run = w, (before, w)
+    total = sum(count.values())
+    root = lambda w: math.log10((count[w] + 0.5) / (total + 0.5 * (len(count) + 1)))
+    price = 0.5 * math.log10(max(total, 2))
+
+    def judged(runs, occurs, shorter):
+        logp, back = {}, {}
+        by_context = {}
+        for (context, w), n in runs.items():
+            if n >= least:
+                by_context.setdefault(context, {})[w] = n
+        for context, following in by_context.items():
+            kept, kinds = sum(following.values()), len(following)
+            left = max(occurs[context] - kept, 0)
+            rest = left + kinds + 1
+            own = {w: math.log10((n + rest * 10 ** shorter(context, w)) / (kept + rest)) for w, n in following.items()}
+            weight = math.log10(rest / (kept + rest))
+            gained = sum(n * (own[w] - shorter(context, w)) for w, n in following.items()) + left * weight
+            state = gained > kinds * price
+            if state:
+                back[context] = weight
+            logp |= {(context, w): own[w] if state else shorter(context, w) for w in following}
+        return logp, back
+
+    one, back_one = judged(pairs, count, lambda context, w: root(w))
+    two, back_two = judged(triples, pairs, lambda context, w: one[context[1], w])
+    scores = []
+    for t in of:
+        score, before, run = 0.0, None, None
+        for w in sequence(t):
+            p = one.get((before, w), root(w) + back_one.get(before, 0.0))
+            if run is not None:
+                p = two.get((run, w), p + back_two.get(run, 0.0))
+            score += p
+            before, run = w, (before, w)
+        scores.append(score)
+    return scores, back_one, back_two
+
+
+@pytest.mark.parametrize("least_share", [1e-3, 0.2])
+def test_suffix_tree_equals_one_of_dictionaries(spark, awkward, least_share):
+    """However much of the tree is sent to the workers, and however much is joined."""
+    rng = random.Random(5)
+    # What follows "and" depends on the token before it too.
+    parts = ["a b c", "a and e", "Rare%d and y", "x and z", "q"]
+    texts = [" ".join(rng.choice(parts).replace("%d", str(rng.randint(0, 40))) for _ in range(rng.randint(0, 9))) for _ in range(250)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    model, vocabulary = suffix_tree.train(df, settings=suffix_tree.Settings(least_share=least_share))
+    for rows in (df, awkward):
+        found = suffix_tree.score(rows, model, vocabulary).collect()
+        expected, one, two = tree_scores([*texts, None], [r.text for r in found])
+        assert one and two
+        assert [r.score for r in found] == pytest.approx(expected)
+
+
 def test_suffix_tree_is_a_distribution(spark):
     """After any context, the probabilities of all next tokens add up to one."""
     rng = random.Random(4)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txloom.llm.common import LOWER_BYTES, chunks, fresh, mix, saved, span_hashes, text_buffer, word_spans
+from txloom.llm.common import LOWER_BYTES, chunks, discard, fresh, mix, saved, span_hashes, text_buffer, word_spans
 
 # Everything but space and the ASCII controls 9 to 13.
 WORD_BYTE = np.ones(256, bool)
@@ -247,8 +247,9 @@ def _walk(model: Model, tokens: np.ndarray, first: np.ndarray):
         context = following
 
 
-def _judged(level: DataFrame, shorter: DataFrame, total: int, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """Of transitions (context, suffix, n): what they are scored by, and the states.
+def _judged(level: DataFrame, shorter: DataFrame, total: int, settings: Settings) -> tuple[DataFrame, ...]:
+    """Of transitions (context, suffix, n): what they are scored by, the states, and the saved
+    table that the first is computed from.
 
     `shorter` has (key, n, logp) of the runs one shorter. The first result has `logp`, the log10
     probability by the longest state, and `adds`, what the run adds to a score that its
@@ -277,7 +278,7 @@ def _judged(level: DataFrame, shorter: DataFrame, total: int, settings: Settings
     found = with_own.join(states.select("context", "back"), "context", "left")
     logp = F.when(F.col("back").isNotNull(), F.col("own")).otherwise(F.col("shorter"))
     adds = F.coalesce(F.col("own") - F.col("shorter") - F.col("back"), F.lit(0.0))
-    return found.select("context", "suffix", "n", logp.alias("logp"), adds.alias("adds")), states
+    return found.select("context", "suffix", "n", logp.alias("logp"), adds.alias("adds")), states, with_own
 
 
 def _keyed(transitions: DataFrame) -> DataFrame:
@@ -321,11 +322,13 @@ def train(docs: DataFrame, text: str = "text", settings: Settings = Settings())
     # A token is a context as often as it occurs: END stands before each text's first token.
     runs_of = lambda tokens, first: [x[2] for x in _runs(tokens, first, 1)]
     seen = saved(_counted(docs, text, runs_of).where(often).select("key"), "pairs") if s.depth else None
-    known, parts = seen, []
+    known, parts, dead = seen, [], [vocabulary]
     # Of the level before: hashes of its transitions, in the order of their numbers, and tokens.
     hashes, tokens_of = model.tokens, np.arange(len(model.tokens))
     for depth in range(1, s.depth + 1):
         shared = spark.sparkContext.broadcast(_bitmap(known, known.count()))
+        if depth == 1:
+            discard(seen)
 
         def keys_of(tokens, first, shared=shared, depth=depth):
             *_, (context, suffix, key, whole) = _runs(tokens, first, depth)
@@ -337,8 +340,11 @@ def train(docs: DataFrame, text: str = "text", settings: Settings = Settings())
             return key[taken], context[taken], suffix[taken]
 
         level = saved(_counted(docs, text, keys_of, ("context", "suffix")).where(often), "level")
-        judged, states = _judged(level, shorter, total, s)
+        judged, states, transitions = _judged(level, shorter, total, s)
         judged = saved(_keyed(judged), "judged")
+        shared.unpersist()
+        discard(level, transitions)
+        dead += [judged, states]
         # At most 1 / least_share rows each.
         found = judged.where(F.col("n") >= hot).select("context", "suffix", "key", "logp").toArrow()
         backs = states.where((F.col("occurs") >= hot) | (F.col("context") == int(END.view(np.int64)))).toArrow()
@@ -363,6 +369,7 @@ def train(docs: DataFrame, text: str = "text", settings: Settings = Settings())
     for part in parts:
         table = table.unionByName(part.select("key", F.lit(None).cast("long").alias("n"), "adds"))
     table = saved(table.groupBy("key").agg(F.sum("n").alias("n"), F.sum("adds").alias("adds")), "tree")
+    discard(*dead)
     runs = table.where(F.col("n").isNull()).select("key")
     model.others = _bitmap(runs, runs.count())
     return model, table
