@@ -22,7 +22,8 @@ from txloom.functions.predicates import (
 from txloom.operators.delivery import deliver_batches, height_range, list_attributes, newest_first, page
 from txloom.plans.search import match_count, result_table, search_indexed, search_txs
 from txloom.sources.messages import parse_messages, read_messages, stream_kafka, stream_messages
-from txloom.sources.store import expire_store, index_batch, read_table
+from txloom.sources.merging import merge_batches
+from txloom.sources.store import expire_store, index_batch, read_heights, read_table
 from txloom.streaming.conditions import fan_out_table, stream_fan_out_table
 from txloom.streaming.indexing import stream_heights, stream_index, stream_retention
 from txloom.streaming.live import backfill_then_live, dedupe_by_hash, fan_out, match_counts, stream_filter
@@ -48,6 +49,8 @@ __all__ = [
     "dedupe_by_hash",
     "deliver_batches",
     "expire_store",
+    "merge_batches",
+    "read_heights",
     "fan_out",
     "fan_out_table",
     "height_range",

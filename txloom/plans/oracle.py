@@ -453,6 +453,10 @@ _STORED = (
 )
 SQL |= {
     "stream_index_batches": _with(*_STORED) + "SELECT tx_hash, path, value FROM r",
+    "merge_batches": _with(*_STORED) + "SELECT tx_hash, path, value FROM r",
+    "height_range_stored": _with(CLICKS, CLICK_ATTRS)
+    + f"""SELECT height, path, count(*) AS n FROM click_attrs JOIN (SELECT tx_id, height FROM clicks) USING (tx_id)
+WHERE {GOOD} AND height BETWEEN 10 AND 12 GROUP BY height, path""",
     "stream_index": _with(*_STORED) + "SELECT new_id AS tx_id, tx_hash, path, value FROM r",
     "append_facts": _with(
         *_STORED,

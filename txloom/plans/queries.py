@@ -1013,6 +1013,33 @@ def stream_index_batches(spark, folder):
     return decoded.join(txs.select("tx_id", "tx_hash"), "tx_id").select("tx_hash", "path", "value")
 
 
+def _index_merged(spark: SparkSession, folder: str) -> str:
+    """The stored stream in five micro-batches, merged after each second one."""
+    raw = W.event_messages(W.stored_events(spark, folder)).withColumnRenamed("ts", "arrived")
+    parts, root = scratch(spark, "messages"), scratch(spark, "store")
+    raw.repartition(5, "tx_id").write.parquet(parts)
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(parts)
+    checkpoint = scratch(spark, "merged-checkpoint")
+    N.stream_index(stream, root, checkpoint, F.col("arrived"), merge_every=2).awaitTermination()
+    return root
+
+
+@query
+def merge_batches(spark, folder):
+    """Facts decoded from a store of merged and later batches."""
+    root = _index_merged(spark, folder)
+    txs, facts, paths, values = [store.read_table(spark, root, t) for t in ("transactions", "facts", "paths", "values")]
+    decoded = X.decode_facts(facts, paths, values)
+    return decoded.join(txs.select("tx_id", "tx_hash"), "tx_id").select("tx_hash", "path", "value")
+
+
+@query
+def height_range_stored(spark, folder):
+    """Attributes of a range of heights; of merged batches only its days are read."""
+    attrs = store.read_heights(spark, _index_merged(spark, folder), "attrs", 10, 12)
+    return attrs.groupBy("height", "path").agg(F.count("*").alias("n"))
+
+
 @query
 def append_facts(spark, folder):
     """Links as stored, with the ids of their batch."""

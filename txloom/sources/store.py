@@ -4,14 +4,18 @@ A batch writes only its own sub-folders and overwrites them, so running it
 again gives the same store. `progress` gets its row last: a batch without one
 is not visible to readers. Rows carry the ingestion time, so expiry hides them
 by a time filter at once and deletes whole batches once all of them is old.
+
+Closed batches may be merged (`merging.merge_batches`) into folders per day, below `merged`.
+Readers take merged batches from there and later ones from their own folders.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Row, SparkSession
 from pyspark.sql import functions as F
 
 from txloom import model
@@ -24,6 +28,7 @@ from txloom.operators.dictionary import (
     upsert_values,
     value_keys,
 )
+from txloom.operators.delivery import height_range
 from txloom.operators.retention import cutoff
 from txloom.sources.messages import append_transactions
 
@@ -42,6 +47,10 @@ SCHEMAS = {
 }
 # Tables whose rows expire; the dictionaries only grow.
 AGING = ("transactions", "attrs", "facts")
+MERGED = (*AGING, "paths", "values", "rejected")
+# One row per merge and day, and one without a day, written when the merge is complete.
+DAYS_DDL = "day long, n_tx long, first_height long, last_height long, first_ts timestamp, last_ts timestamp"
+DAY_SECONDS = 86_400
 
 
 def _folder(root: str, table: str, batch_id: int) -> str:
@@ -58,12 +67,15 @@ def _read(spark: SparkSession, root: str, table: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def _write(df: DataFrame, root: str, table: str, batch_id: int) -> None:
-    writer = df.write.mode("overwrite")
+def with_blooms(writer: DataFrameWriter, table: str) -> DataFrameWriter:
     if table in ("attrs", "values"):
         # Point searches by fingerprint skip row groups.
         writer = writer.option("parquet.bloom.filter.enabled#value_hash", "true")
-    writer.parquet(_folder(root, table, batch_id))
+    return writer
+
+
+def _write(df: DataFrame, root: str, table: str, batch_id: int) -> None:
+    with_blooms(df.write.mode("overwrite"), table).parquet(_folder(root, table, batch_id))
 
 
 def _hadoop(spark: SparkSession, folder: str):
@@ -72,15 +84,18 @@ def _hadoop(spark: SparkSession, folder: str):
     return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
 
 
+def folder_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, none if it does not exist."""
+    files, path = _hadoop(spark, folder)
+    return [status.getPath().getName() for status in files.listStatus(path)] if files.exists(path) else []
+
+
 def _last_committed(spark: SparkSession, root: str, before: int | None = None) -> Row | None:
     """`progress` of the last batch (before some other), with its `batch_id`.
 
     From the folder names, so only one small file is read however many there are.
     """
-    files, path = _hadoop(spark, f"{root}/progress")
-    if not files.exists(path):
-        return None
-    names = [status.getPath().getName() for status in files.listStatus(path)]
+    names = folder_names(spark, f"{root}/progress")
     ids = sorted((int(n.removeprefix("batch_id=")) for n in names if n.startswith("batch_id=")), reverse=True)
     for batch_id in ids:
         if before is None or batch_id < before:
@@ -92,15 +107,143 @@ def _last_committed(spark: SparkSession, root: str, before: int | None = None) -
     return None
 
 
+class Merge(NamedTuple):
+    """Batches from first to last, merged; `days` are its rows of the `days` table."""
+
+    first_batch: int
+    last_batch: int
+    days: tuple[Row, ...]
+
+
+def day_of(ts: str) -> Column:
+    """Days since 1970, in UTC whatever the session's time zone."""
+    return F.floor(F.unix_seconds(ts) / DAY_SECONDS).cast("long")
+
+
+def merge_folder(root: str, table: str, first: int, last: int) -> str:
+    return f"{root}/merged/{table}/first_batch={first}/last_batch={last}"
+
+
+def merges(spark: SparkSession, root: str) -> list[Merge]:
+    """The merges in force, oldest first: they follow each other without a gap.
+
+    One whose writing was cut short has no rows in `days`; one that a wider merge holds is left
+    out. There are a few rows per day of history.
+    """
+    if not folder_names(spark, f"{root}/merged/days"):
+        return []
+    found: dict[tuple[int, int], list[Row]] = {}
+    schema = DAYS_DDL + ", first_batch long, last_batch long"
+    for row in spark.read.schema(schema).parquet(f"{root}/merged/days").collect():
+        found.setdefault((row.last_batch, -row.first_batch), []).append(row)
+    chain: list[Merge] = []
+    for (last, first), days in sorted(found.items(), reverse=True):
+        # Of those that end at one batch the widest is in force, and sorted last.
+        if chain and chain[-1].last_batch == last and -first < chain[-1].first_batch:
+            chain[-1] = Merge(-first, last, tuple(days))
+        elif not chain or last == chain[-1].first_batch - 1:
+            chain.append(Merge(-first, last, tuple(days)))
+    return chain[::-1]
+
+
+def merged_to(merged: list[Merge]) -> int:
+    return merged[-1].last_batch if merged else -1
+
+
+def read_merged(spark: SparkSession, root: str, table: str, merged: list[Merge]) -> DataFrame:
+    """Rows of some merges, with their `day` if the table ages."""
+    schema = SCHEMAS[table] + (", day long" if table in AGING else "")
+    if not merged:
+        return spark.createDataFrame([], schema)
+    folders = [merge_folder(root, table, m.first_batch, m.last_batch) for m in merged]
+    ids = ", first_batch long, last_batch long"
+    reader = spark.read.schema(schema + ids).option("basePath", f"{root}/merged/{table}")
+    return reader.parquet(*folders).drop("first_batch", "last_batch")
+
+
+def stored(
+    spark: SparkSession,
+    root: str,
+    table: str,
+    merged: list[Merge],
+    after: int,
+    upto: int,
+    days: set[int | None] | None = None,
+) -> DataFrame:
+    """Rows of merges (of some `days`, or all), and of the batches after `after` up to `upto`
+    from their own folders.
+
+    Tables that age have a `day`, by which folders of merges are left out.
+    """
+    rows = _read(spark, root, table).where(F.col("batch_id").between(after + 1, upto)).drop("batch_id")
+    if table in AGING:
+        rows = rows.withColumn("day", day_of("ts"))
+    if not merged:
+        return rows
+    old = read_merged(spark, root, table, merged)
+    if days is not None:
+        named = F.col("day").isin([day for day in days if day is not None])
+        old = old.where(named | F.col("day").isNull() if None in days else named)
+    return old.unionByName(rows)
+
+
+def hidden_before(spark: SparkSession, root: str) -> datetime | None:
+    return _read(spark, root, "retention").agg(F.max("cutoff")).first()[0]
+
+
+def unexpired(rows: DataFrame, table: str, limit: datetime | None) -> DataFrame:
+    """Rows of `stored` that have not expired, without `day`."""
+    if table not in AGING:
+        return rows
+    if limit is not None:
+        # The day says nothing new, but names the folders to read.
+        limit = F.lit(limit)
+        first_day = F.floor(F.unix_seconds(limit) / DAY_SECONDS)
+        rows = rows.where((F.col("ts") >= limit) & (F.col("day") >= first_day))
+    return rows.drop("day")
+
+
+def _committed(
+    spark: SparkSession, root: str, table: str, merged: list[Merge], days: set[int | None] | None = None
+) -> DataFrame:
+    last = _last_committed(spark, root)
+    upto = -1 if last is None else last.batch_id
+    # Tables that are not merged are in their batches' folders alone.
+    held = merged if table in MERGED else []
+    return stored(spark, root, table, held, merged_to(held), upto, days)
+
+
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Committed rows of a table that have not expired."""
-    last = _last_committed(spark, root)
-    df = _read(spark, root, table).where(F.col("batch_id") <= (-1 if last is None else last.batch_id))
-    if table in AGING:
-        limit = _read(spark, root, "retention").agg(F.max("cutoff")).first()[0]
-        if limit is not None:
-            df = df.where(F.col("ts") >= F.lit(limit))
-    return df.drop("batch_id")
+    limit = hidden_before(spark, root) if table in AGING else None
+    return unexpired(_committed(spark, root, table, merges(spark, root)), table, limit)
+
+
+def read_heights(
+    spark: SparkSession,
+    root: str,
+    table: str = "transactions",
+    from_height: int | None = None,
+    to_height: int | None = None,
+) -> DataFrame:
+    """Rows of `transactions` or `attrs` of the heights from … to …, both included.
+
+    Of merged batches only days are read that hold such heights; later batches are read
+    whole. Without limits it is `read_table`; else rows without a height are not among them.
+    """
+    merged = merges(spark, root)
+    low = float("-inf") if from_height is None else from_height
+    high = float("inf") if to_height is None else to_height
+    days = None
+    if from_height is not None or to_height is not None:
+        days = {
+            row.day
+            for merge in merged
+            for row in merge.days
+            if row.first_height is not None and row.first_height <= high and row.last_height >= low
+        }
+    rows = _committed(spark, root, table, merged, days)
+    return height_range(unexpired(rows, table, hidden_before(spark, root)), from_height, to_height)
 
 
 def index_batch(spark: SparkSession, root: str, rows: DataFrame, batch_id: int) -> None:
@@ -117,8 +260,13 @@ def index_batch(spark: SparkSession, root: str, rows: DataFrame, batch_id: int)
     def written(table: str) -> DataFrame:
         return spark.read.schema(SCHEMAS[table]).parquet(_folder(root, table, batch_id))
 
+    merged = merges(spark, root)
+    done = merged_to(merged)
+    if batch_id <= done:
+        raise ValueError(f"batch {batch_id} is closed: batches up to {done} are merged")
+
     def known(table: str) -> DataFrame:
-        return _read(spark, root, table).where(F.col("batch_id") < batch_id).drop("batch_id")
+        return stored(spark, root, table, merged, done, batch_id - 1)
 
     _write(append_transactions(rows, last_tx), root, "transactions", batch_id)
     tx = written("transactions")
@@ -171,7 +319,7 @@ def expire_store(
     A reader that began before this run may still be at what it hides, so the folders of a
     batch go only once the cutoff of an earlier run had passed it. No rows are scanned or
     rewritten: the times of each batch are in `progress`. Returns the number of batches
-    deleted.
+    deleted. Merged batches go day by day, and days count as batches do.
     """
     moment = F.current_timestamp() if now is None else now if isinstance(now, Column) else F.lit(now)
     earlier = _read(spark, root, "retention")
@@ -194,14 +342,26 @@ def expire_store(
     last = _last_committed(spark, root)
     if last is None or hidden is None:
         return 0
-    # The last batch stays known, because the next one counts on from it.
-    batches = _read(spark, root, "progress").where(F.col("batch_id") < last.batch_id)
+    # The last two stay known: the next batch counts on from the last one, and the last one,
+    # if it is run again, from the one before.
+    before = _last_committed(spark, root, last.batch_id)
+    batches = _read(spark, root, "progress").where(F.col("batch_id") < (last if before is None else before).batch_id)
     old = batches.where(F.col("last_ts") < F.lit(hidden)).select("batch_id").distinct()
     deleted = 0
     for row in old.toLocalIterator():
         for table in (*AGING, "progress"):
             _delete(spark, _folder(root, table, row.batch_id))
         deleted += 1
+    for merge in merges(spark, root):
+        folders = [merge_folder(root, table, merge.first_batch, merge.last_batch) for table in AGING]
+        left = {folder: set(folder_names(spark, folder)) for folder in folders}
+        for row in merge.days:
+            name = f"day={row.day}"
+            held = [folder for folder in folders if name in left[folder]]
+            if held and row.last_ts < hidden:
+                for folder in held:
+                    _delete(spark, f"{folder}/{name}")
+                deleted += 1
     return deleted
 
 

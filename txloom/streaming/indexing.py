@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from txloom.model import RETENTION_HOURS, RETENTION_PERIOD
+from txloom.sources.merging import merge_batches
 from txloom.sources.messages import (
     block_headers,
     decode_messages,
@@ -20,13 +21,21 @@ from txloom.sources.store import expire_store, index_batch, write_rejected
 
 
 def stream_index(
-    raw: DataFrame, root: str, checkpoint: str, arrival: Column | None = None, **trigger
+    raw: DataFrame,
+    root: str,
+    checkpoint: str,
+    arrival: Column | None = None,
+    merge_every: int | None = None,
+    **trigger,
 ) -> StreamingQuery:
     """Index a stream of raw messages; each micro-batch is one repeatable step.
 
     The parsed batch is kept while it is stored, as several jobs read it; a lost
-    part is parsed again from the source.
+    part is parsed again from the source. After every `merge_every` batches those before the
+    current one are merged.
     """
+    if merge_every is not None and merge_every < 1:
+        raise ValueError("merge_every must be at least 1")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         decoded = decode_messages(batch).persist(StorageLevel.MEMORY_AND_DISK)
@@ -35,6 +44,8 @@ def stream_index(
             txs, _ = route_by_type(accepted)
             write_rejected(root, rejected, batch_id)
             index_batch(batch.sparkSession, root, transaction_rows(txs, arrival), batch_id)
+            if merge_every is not None and (batch_id + 1) % merge_every == 0:
+                merge_batches(batch.sparkSession, root)
         finally:
             decoded.unpersist()
 
