@@ -128,3 +128,18 @@ def test_expiry_drops_days_of_merged_batches(spark, tmp_path):
     index(spark, root, 3, [9])
     assert merging.merge_batches(spark, root) == 1 and kept() == [80, 90, 90, 90]
     assert Counter(r.tx_id for r in store.read_table(spark, root, "transactions").collect()) == Counter([2, 4, 5, 6])
+
+
+def test_the_last_batch_again_after_expiry(spark, tmp_path):
+    root = str(tmp_path)
+    index(spark, root, 0, [0])
+    index(spark, root, 1, [20])
+    for second in (0, 1):
+        gone = store.expire_store(spark, root, START + timedelta(days=25, seconds=second))
+        assert gone == second
+    assert folders(tmp_path, "transactions") == ["batch_id=1"]
+    before = content(spark, root)
+    index(spark, root, 1, [20])
+    assert content(spark, root) == before
+    # What is kept of the batch before is not counted once more.
+    assert store.expire_store(spark, root, START + timedelta(days=25, seconds=2)) == 0

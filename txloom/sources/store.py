@@ -342,14 +342,17 @@ def expire_store(
     last = _last_committed(spark, root)
     if last is None or hidden is None:
         return 0
-    # The last batch stays known, because the next one counts on from it.
+    # The last batch stays known, because the next one counts on from it; and so does the
+    # progress of the one before, from which the last one counts if it is run again.
+    before = _last_committed(spark, root, last.batch_id)
     batches = _read(spark, root, "progress").where(F.col("batch_id") < last.batch_id)
     old = batches.where(F.col("last_ts") < F.lit(hidden)).select("batch_id").distinct()
     deleted = 0
     for row in old.toLocalIterator():
-        for table in (*AGING, "progress"):
-            _delete(spark, _folder(root, table, row.batch_id))
-        deleted += 1
+        gone = [_delete(spark, _folder(root, table, row.batch_id)) for table in AGING]
+        if row.batch_id != before.batch_id:
+            _delete(spark, _folder(root, "progress", row.batch_id))
+        deleted += any(gone)
     for merge in merges(spark, root):
         folders = [merge_folder(root, table, merge.first_batch, merge.last_batch) for table in AGING]
         left = {folder: set(folder_names(spark, folder)) for folder in folders}
@@ -363,6 +366,7 @@ def expire_store(
     return deleted
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def _delete(spark: SparkSession, folder: str) -> bool:
+    """Whether there was such a folder."""
     files, path = _hadoop(spark, folder)
-    files.delete(path, True)
+    return files.delete(path, True)
