@@ -128,6 +128,44 @@ def test_every_hot_key_is_spread(spark):
     assert joined.count() == 9100 and joined.where("v != 2 * k").isEmpty()
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_rows_of_frequent_keys_are_not_shuffled(spark, monkeypatch, how):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 50)
+    monkeypatch.setattr(skew, "FREQUENT_KEYS", 3)
+    left = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id") % 3).when(F.col("id") % 50 != 0, F.col("id")).alias("k"), "id"
+    )
+    right = spark.range(1, 400, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    right = right.unionByName(spark.createDataFrame([(1, -1), (None, -2)], "k long, v long"))
+    joined = skew.join_spreading_hot_keys(left, right, "k", ["id"], how)
+    expected = left.join(right, "k", how)
+    assert joined.columns == expected.columns
+    assert sorted(map(str, joined.collect())) == sorted(map(str, expected.collect()))
+    # Frequent keys by broadcast, the others apart from them.
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "LeftAnti" in plan
+
+
+def test_as_many_keys_are_frequent_as_may_be(spark):
+    counts = spark.createDataFrame([(1, 5000), (2, 300), (3, 300), (4, 70)], "k long, _n long")
+    assert [skew.frequent_rows(counts, n) for n in (0, 1, 2, 3, 4)] == [None, 4096, 4096, 256, 64]
+    assert skew.frequent_rows(counts.limit(0)) is None
+
+
+def test_facts_are_coded_without_a_shuffle_by_path(spark, tx_of):
+    """Twelve paths would be as many tasks, however many rows there are."""
+    attrs = A.explode_attributes(tx_of({"a": ["x", "y"], "b": ["x"]}))
+    paths = I.assign_ids(attrs.select(F.col("path").alias("path_text")).distinct(), ["path_text"], "path_id")
+    values = I.assign_ids_by_hash(X.value_keys(attrs), "value_hash", "value_id")
+    facts = X.encode_attributes(attrs, paths, values)
+    back = X.decode_facts(facts, paths, values)
+    for coded in (facts, back):
+        plan = coded._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join Inner" in line and "path_" in line]
+        assert joins and all("strategy=broadcast" in line for line in joins)
+    assert sorted(map(tuple, back.collect())) == [(1, "a", "x"), (1, "a", "y"), (1, "b", "x")]
+
+
 def test_a_machine_local_folder_is_for_local_masters_only():
     from txloom import session
 
