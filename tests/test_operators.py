@@ -146,6 +146,20 @@ def test_rows_of_frequent_keys_are_not_shuffled(spark, monkeypatch, how):
     assert "Union" in plan and "LeftAnti" in plan
 
 
+def test_attributes_are_rehydrated_without_a_shuffle(spark):
+    ids = [None, -65, -64, -1, 0, 1, 63, 64, 127, 128, 1 << 40, (1 << 62) + 63]
+    attrs = spark.createDataFrame([(i, "p", f"{i}/{j}") for i in ids for j in (1, 2)], "tx_id long, path string, value string")
+    for chosen in (ids[::2], ids[1::2], ids, []):
+        selected = spark.createDataFrame([(i,) for i in chosen] * 2, "tx_id long")
+        found = M.rehydrate(attrs, selected)
+        want = sorted(f"{i}/{j}" for i in chosen if i is not None for j in (1, 2))
+        assert found.columns == attrs.columns and sorted(r.value for r in found.collect()) == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" in plan
+    named = attrs.withColumn("tx_id", F.col("tx_id").cast("string"))
+    assert M.rehydrate(named, named.limit(0)).count() == 0
+
+
 def test_as_many_keys_are_frequent_as_may_be(spark):
     counts = spark.createDataFrame([(1, 5000), (2, 300), (3, 300), (4, 70)], "k long, _n long")
     assert [skew.frequent_rows(counts, n) for n in (0, 1, 2, 3, 4)] == [None, 4096, 4096, 256, 64]
