@@ -13,6 +13,7 @@ from txloom.operators.dictionary import decode_facts
 from txloom.plans import search as S
 from txloom.sources import messages as G
 from txloom.sources import store
+from txloom.sources import warehouse as W
 from txloom.streaming import conditions as C
 from txloom.streaming import indexing as N
 from txloom.streaming import live as L
@@ -371,3 +372,19 @@ def test_history_is_delivered_while_the_stream_is_quiet(spark, tmp_path):
     sink = str(tmp_path / "sink")
     L.backfill_then_live(history, stream, P.attr_eq("a", 1), sink, str(tmp_path / "check")).awaitTermination()
     assert [r.tx_hash for r in spark.read.parquet(sink).collect()] == ["h1"]
+
+
+def test_click_events_of_one_file_are_dealt_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "EVENTS_PER_TASK", 30)
+    events = spark.range(100, numPartitions=1).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), (F.col("id") % 7).alias("user_id")
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    found = W.stored_events(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 4
+    assert sorted(map(str, found.collect())) == sorted(map(str, events.collect()))
+    live = W.live_events(spark, str(tmp_path))
+    sizes = []
+    query = live.writeStream.foreachBatch(lambda b, _: sizes.append((b.rdd.getNumPartitions(), b.count())))
+    query.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
+    assert sizes == [(4, 100)]
