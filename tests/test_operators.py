@@ -32,6 +32,16 @@ def test_build_event_map_shuffles_once(tx_of):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_build_event_map_leaves_rows_that_lie_together(tx_of):
+    maps = [{"a": ["x", "x", "b"], "b": ["1"]}, {"a": ["z"], "b": ["y", "x"]}]
+    attrs = A.explode_attributes(tx_of(*maps))
+    rebuilt = A.build_event_map(attrs.repartition(3, "tx_id"), together=True)
+    assert rebuilt._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    scattered = A.build_event_map(attrs.repartition(3), together=True)
+    for found in (rebuilt, scattered):
+        assert {r.tx_id: r.events for r in found.collect()} == {1: maps[0], 2: maps[1]}
+
+
 def test_distinct_paths_counts_empty_lists(tx_of):
     found = A.distinct_paths(tx_of({"a": ["x"], "b": []}, {"a": []})).collect()
     assert {r.path for r in found} == {"a", "b"}
