@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from txloom.llm import bpe, decontaminate, language, secret_scan, suffix_tree
+from txloom.llm import bpe, decontaminate, language, minhash, secret_scan, suffix_tree
 from txloom.llm.queries import tokenizer_file
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -385,3 +385,29 @@ def test_overlaps_do_not_depend_on_the_map(spark, monkeypatch):
     bench = spark.createDataFrame([(1, "b c d e f g h i j k l m n o p")], "item_id long, text string")
     found = decontaminate.overlaps(spark.createDataFrame(docs, "text string"), bench).collect()
     assert sorted(r.n_hit for r in found) == [0, 14]
+
+
+def test_workers_hold_few_arrays(spark):
+    """The memory of a Python worker for a batch of texts, and what comes back from it."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    column = pa.array([f"some words of text {i} " * 100 for i in range(1024)])
+    language._tables.clear()
+    peaks = []
+    for work in (
+        lambda: [present.sum() for _, _, present, _ in language._presence_parts(column, language.Settings())],
+        lambda: [len(values) for _, values in minhash.shingle_sets(column, 3)],
+    ):
+        tracemalloc.start()
+        work()
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    assert max(peaks) < 30, peaks
+    rows = spark.createDataFrame([(1, "ein Satz"), (2, None)], "k long, text string")
+    model = language.train(rows.selectExpr("text", "'de' as lang"), "text", "lang")
+    found = language.predict(rows, model, keep=["k"])
+    assert found.columns == ["k", "lang_pred", "score"]
+    assert [r.lang_pred for r in found.orderBy("k").collect()] == ["de", "und"]
+    assert language.predict(rows, model, keep=[]).columns == ["lang_pred", "score"]

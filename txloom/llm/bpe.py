@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from txloom.llm.common import chunks, span_hashes, text_buffer, worker_tables
+from txloom.llm.common import CHUNK_BYTES, chunks, span_hashes, text_buffer, worker_tables
 
 # Code point classes.
 _LETTER, _NUMBER, _OTHER, _SPACE, _WHITE = range(5)
@@ -357,13 +357,16 @@ def read_ranks(path: str) -> bytes:
         return file.read()
 
 
-def encode(docs: DataFrame, ranks: bytes, text: str = "text", offsets: bool = True) -> DataFrame:
+def encode(
+    docs: DataFrame, ranks: bytes, text: str = "text", offsets: bool = True, chunk_bytes: int = CHUNK_BYTES
+) -> DataFrame:
     """`docs` with `token_ids` (array of int) and, if wanted, `token_offsets`.
 
     `ranks` is the content of a rank file, a fixed table that is sent to the workers.
     An offset is the byte of the UTF-8 text at which a token starts. Whole texts are
     encoded, special tokens are ordinary text, a null or empty text has no tokens, rows
-    that repeat are encoded alike, and input columns named like the two are replaced.
+    that repeat are encoded alike, and input columns named like the two are replaced. Smaller
+    chunks take less of a worker's memory and more of its time.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((ranks, code_point_classes().tobytes()))
@@ -379,7 +382,7 @@ def encode(docs: DataFrame, ranks: bytes, text: str = "text", offsets: bool = Tr
             raw, starts = text_buffer(batch.column(text))
             if not len(starts) - 1:
                 continue
-            for first, last in chunks(starts):
+            for first, last in chunks(starts, chunk_bytes):
                 data = raw[starts[first] : starts[last]]
                 rows = starts[first : last + 1] - starts[first]
                 cuts = piece_starts(data.tobytes(), rows, classes)

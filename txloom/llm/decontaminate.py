@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from txloom.llm.common import (
     LOWER_BYTES,
+    SMALL_CHUNK_BYTES,
     chunks,
     fresh,
     saved,
@@ -122,7 +123,7 @@ def _frequencies(docs: DataFrame, text: str, bitmap, sizes: list[int]) -> DataFr
         worker_tables("decontaminate")
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
-            for first, last in chunks(offsets):
+            for first, last in chunks(offsets, SMALL_CHUNK_BYTES):
                 part = data[offsets[first] : offsets[last]]
                 words = _words(part, offsets[first : last + 1] - offsets[first])
                 for _, hashes, inside in _shingles_of(*words, sizes):
@@ -149,7 +150,7 @@ def _postings(docs: DataFrame, text: str, bitmap, sizes: list[int], posts_name:
         worker_tables("decontaminate")
         for batch in batches:
             data, offsets = text_buffer(batch.column(text))
-            for first, last in chunks(offsets):
+            for first, last in chunks(offsets, SMALL_CHUNK_BYTES):
                 part = data[offsets[first] : offsets[last]]
                 low, starts, ends, first_word = _words(part, offsets[first : last + 1] - offsets[first])
                 spaced = _SPACED[low].tobytes()

@@ -54,9 +54,10 @@ _tables: dict[str, np.ndarray] = {}
 def _folded() -> np.ndarray:
     """Code point tables: its lower case if a letter, else 0 (one table, 4 bytes per code point)."""
     if "fold" not in _tables:
-        every = "".join(chr(i) if not 0xD800 <= i < 0xE000 else "\0" for i in range(0x110000))
         fold = np.zeros(0x110000, np.uint32)
-        for i, c in enumerate(every):
+        # One character at a time: a string joined of all takes a worker some 80 MB.
+        for i in range(0x110000):
+            c = chr(i)
             if c.isalpha():
                 low = c.lower()
                 fold[i] = ord(low) if len(low) == 1 else i
@@ -182,8 +183,10 @@ def train(labelled: DataFrame, text: str, lang: str, settings: Settings = Settin
     return Model(marks, (whiten @ beta).astype(np.float32), languages, s)
 
 
-#: Texts that are scored in one product.
-BATCH_ROWS = 1024
+#: Texts that are scored in one product, and their bytes (one longer text stays whole): a worker
+#: holds the arrays of so many at a time.
+BATCH_ROWS = 128
+BATCH_BYTES = 1 << 17
 
 
 def _presence_parts(column: pa.Array, settings: Settings):
@@ -191,16 +194,16 @@ def _presence_parts(column: pa.Array, settings: Settings):
     data, offsets = text_buffer(column)
     if len(offsets) == 1:
         return
-    for begin, end in chunks(offsets):
+    for begin, end in chunks(offsets, BATCH_BYTES):
         for first in range(begin, end, BATCH_ROWS):
             last = min(first + BATCH_ROWS, end)
             part = data[offsets[first] : offsets[last]].tobytes()
             yield first, last, *presence(part, offsets[first : last + 1] - offsets[first], settings)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """`docs` with `lang_pred` and `score` (0 to 1: the margin of the best language, halved and
-    shifted).
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """`docs` (or its columns `keep`) with `lang_pred` and `score` (0 to 1: the margin of the best
+    language, halved and shifted).
 
     A null or empty text, or one without letters, is `und` with score 0, and so is every
     text if the model knows no language. Ties go to the language that sorts first. Repeated
@@ -209,7 +212,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     # A table of landmarks by features, bounded by the settings.
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    kept = docs.columns if keep is None else keep
+    schema = ", ".join(f"`{name}` {docs.schema[name].dataType.simpleString()}" for name in kept)
+    # No column before the first added one, if none is kept.
+    schema = ", ".join([schema] * bool(kept) + ["lang_pred string, score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_tables("language")
@@ -224,7 +230,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     best = np.where(letters > 0, margin.argmax(1), best)
                     score = np.where(letters > 0, np.clip((margin.max(1) + 1) / 2, 0, 1), 0.0)
                 part = batch.slice(first, last - first)
-                columns = [*part.columns, pa.array(names[best], pa.string()), pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "lang_pred", "score"])
+                columns = [part.column(name) for name in kept]
+                columns += [pa.array(names[best], pa.string()), pa.array(score, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema + ", lang_pred string, score double")
+    return docs.mapInArrow(run, schema)

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from txloom.llm.common import (
     LOWER_BYTES,
+    SMALL_CHUNK_BYTES,
     chunks,
     saved,
     shingle_hashes,
@@ -80,7 +81,7 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]
     With fewer words than a shingle has, the whole sequence is one; without words none.
     """
     data, offsets = text_buffer(column)
-    for first, last in chunks(offsets):
+    for first, last in chunks(offsets, SMALL_CHUNK_BYTES):
         low = LOWER_BYTES[data[offsets[first] : offsets[last]]]
         starts, ends, first_word = word_spans(low, offsets[first : last + 1] - offsets[first], WORD_BYTE)
         words = span_hashes(low, starts, ends)
