@@ -411,3 +411,43 @@ def test_workers_hold_few_arrays(spark):
     assert found.columns == ["k", "lang_pred", "score"]
     assert [r.lang_pred for r in found.orderBy("k").collect()] == ["de", "und"]
     assert language.predict(rows, model, keep=[]).columns == ["lang_pred", "score"]
+
+
+def test_copies_that_just_miss_a_link_make_no_pairs(spark, monkeypatch):
+    """Copies that share an edit but not enough of them are told apart by bits, not by their sets."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(words)]
+    for _ in range(400):
+        own = list(words)
+        for at in rng.sample(range(3, 118, 4), 4):
+            own[at] = f"edit{at}"
+        texts.append(" ".join(own))
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(118)} for t in texts]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 100 * common >= 85 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+                links += 1
+    made, before = [], minhash._pairs
+
+    def pairs(*args):
+        out = before(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "_pairs", pairs)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = minhash.near_duplicates(df, settings=minhash.Settings(shingle=3, percent=85, matches=36)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: find(i) for i in range(len(sets))}
+    assert sum(made) <= 2 * links + 400, (made, links)

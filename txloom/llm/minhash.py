@@ -16,12 +16,14 @@ compared with one class only: of those that lead a group by having the most freq
 as the original of many copies has, the one that it meets most often. What that joins is
 one component. Later rounds take pairs of different components under one token, the
 smaller components' classes against the others: first only against a few delegates of the
-largest, which most of those that belong to it meet, and at last against all. There,
-a pair also has to share one of the rarest shingles of both sets, early enough in their
-order that enough can follow (prefix and position); copies that differ too much from all
-others meet none, however many they are. Collisions are counted on sketches of the
-signatures, of which a pair needs T. So no link between different components is lost, and
-links inside one need not be known.
+largest, which most of those that belong to it meet, then against more of them, and at last
+against all. There, a pair also has to share one of the rarest shingles of both sets, early
+enough in their order that enough can follow (prefix and position); copies that differ too much
+from all others meet none, however many they are. Each set has parity bits: how many of its
+members fall on a bit, modulo 2. Two sets' bits differ in at most as many places as the sets
+do in members, so a pair whose bits differ in more than a link allows is none. Collisions
+are counted on sketches of the signatures, of which a pair needs T. So no link between different
+components is lost, and links inside one need not be known.
 
 Links are confirmed on full sets, which are made anew for the classes in question only.
 """
@@ -59,7 +61,8 @@ WORD_BYTE[[32, 9, 10, 11, 12, 13]] = False
 class Settings:
     """shingle: words of a shingle. percent: least similarity of a link, in percent.
     coordinates, matches: K and T. map_bits: size of the map that says whose sets are made.
-    delegates: of the largest component, in the round before the last; changes no result."""
+    delegates: of the largest component, in the first of the later rounds; eight times as many are
+    in the next one. Changes no result."""
 
     shingle: int = 5
     percent: int = 80
@@ -184,6 +187,28 @@ def _sets(docs: DataFrame, text: str, wanted: DataFrame, s: Settings) -> DataFra
     return made.groupBy("class").agg(F.first("members").alias("members"))
 
 
+# Parity bits of a set, and the columns of 64 that hold them.
+PARITY_BITS = 512
+PARITIES = [f"p{k}" for k in range(PARITY_BITS // 64)]
+
+
+def _with_parities(sets: DataFrame) -> DataFrame:
+    """`sets` with their parity bits in the columns PARITIES."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.zeros((len(batch), PARITY_BITS), bool)
+            for row, members in enumerate(batch.column("members")):
+                place = (np.frombuffer(members.as_buffer(), np.uint64) & np.uint64(PARITY_BITS - 1)).astype(np.int64)
+                bits[row] = np.bincount(place, minlength=PARITY_BITS) & 1
+            words = np.packbits(bits, axis=1).view(np.int64)
+            columns = [batch.column("class"), batch.column("members"), *[pa.array(words[:, k]) for k in range(len(PARITIES))]]
+            yield pa.RecordBatch.from_arrays(columns, ["class", "members", *PARITIES])
+
+    schema = ", ".join(f"{name} long" for name in PARITIES)
+    return sets.mapInArrow(run, f"class long, members binary, {schema}")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
     first = pairs.join(sets.select(F.col("class").alias("a"), F.col("members").alias("set_a")), "a")
@@ -266,10 +291,13 @@ def _pairs(there: DataFrame, sketches: list[str], delegates: int | None, s: Sett
         own = [c for c in there.columns if c != "token"]
         heaviest = F.max_by(F.struct(*own), F.struct("weight", "class")).alias("h")
         other = there.where("component = most").groupBy("token", part).agg(heaviest).select("token", "h.*")
-    renamed = [F.col(c).alias(f"{c}_b") for c in ("class", "component", "n", "place", *sketches)]
+    renamed = [F.col(c).alias(f"{c}_b") for c in ("class", "component", "n", "place", *PARITIES, *sketches)]
     pairs = few.drop("most").join(other.select("token", "most", *renamed), "token")
     # Members that similar sets of these sizes have in common at least.
     needed = F.expr(f"((n + n_b) * {s.percent} + {99 + s.percent}) div {100 + s.percent}")
+    apart = F.lit(0)
+    for c in PARITIES:
+        apart = apart + F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b")))
     pairs = pairs.where(
         (F.col("component") != F.col("component_b"))
         # Pairs of two smaller components stand on both sides: one of them is enough.
@@ -277,6 +305,7 @@ def _pairs(there: DataFrame, sketches: list[str], delegates: int | None, s: Sett
         & (100 * F.least("n", "n_b") >= s.percent * F.greatest("n", "n_b"))
         & (F.col("n") - F.col("place") >= needed)
         & (F.col("n_b") - F.col("place_b") >= needed)
+        & (apart <= F.col("n") + F.col("n_b") - 2 * needed)
         & (_agreements(sketches, [f"{c}_b" for c in sketches]) >= s.matches)
     )
     return pairs.select(F.col("class").alias("a"), F.col("class_b").alias("b")).distinct()
@@ -312,10 +341,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     sketches = [f"s{k}" for k in range(s.coordinates // 16)]
     short = classes.select("class", "n", *[_sketch("coordinates", k).alias(name) for k, name in enumerate(sketches)])
     meeting = _meetings(postings, joined).select("class").distinct()
-    sets = saved(_sets(docs, text, meeting, s), "sets")
+    sets = saved(_with_parities(_sets(docs, text, meeting, s)), "sets")
     weights = postings.select("class", "weight").distinct()
-    rare = saved(_rarest(sets, s).join(short, "class").join(weights, "class"), "rarest")
-    for delegates in (s.delegates, None):
+    about = short.join(sets.select("class", *PARITIES), "class").join(weights, "class")
+    rare = saved(_rarest(sets, s).join(about, "class"), "rarest")
+    for delegates in (s.delegates, 8 * s.delegates, None):
         there = saved(_meetings(rare, joined), "there")
         pairs = saved(_pairs(there, sketches, delegates, s), "pairs")
         links = saved(_confirmed(pairs, sets, s), "links").unionByName(
