@@ -397,7 +397,7 @@ def test_workers_hold_few_arrays(spark):
     language._tables.clear()
     peaks = []
     for work in (
-        lambda: [present.sum() for _, _, present, _ in language._presence_parts(column, language.Settings())],
+        lambda: [present.sum() for _, _, present, _ in language._presence_parts(column, language.Settings(), small=True)],
         lambda: [len(values) for _, values in minhash.shingle_sets(column, 3)],
     ):
         tracemalloc.start()
@@ -407,7 +407,7 @@ def test_workers_hold_few_arrays(spark):
     assert max(peaks) < 30, peaks
     rows = spark.createDataFrame([(1, "ein Satz"), (2, None)], "k long, text string")
     model = language.train(rows.selectExpr("text", "'de' as lang"), "text", "lang")
-    found = language.predict(rows, model, keep=["k"])
+    found = language.predict(rows, model, keep=["k"], small=True)
     assert found.columns == ["k", "lang_pred", "score"]
     assert [r.lang_pred for r in found.orderBy("k").collect()] == ["de", "und"]
     assert language.predict(rows, model, keep=[]).columns == ["lang_pred", "score"]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txloom.llm.common import chunks, text_buffer, worker_tables
+from txloom.llm.common import CHUNK_BYTES, chunks, text_buffer, worker_tables
 
 #: The answer for texts without letters.
 UNDETERMINED = "und"
@@ -154,7 +154,7 @@ def train(labelled: DataFrame, text: str, lang: str, settings: Settings = Settin
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_tables("language")
         for batch in batches:
-            for first, last, present, _ in _presence_parts(batch.column("text"), s):
+            for first, last, present, _ in _presence_parts(batch.column("text"), s, small=True):
                 packed = np.packbits(present > 0, axis=1)
                 part = batch.slice(first, last - first)
                 rows = pa.array([row.tobytes() for row in packed], pa.binary())
@@ -183,31 +183,36 @@ def train(labelled: DataFrame, text: str, lang: str, settings: Settings = Settin
     return Model(marks, (whiten @ beta).astype(np.float32), languages, s)
 
 
-#: Texts that are scored in one product, and their bytes (one longer text stays whole): a worker
-#: holds the arrays of so many at a time.
-BATCH_ROWS = 128
-BATCH_BYTES = 1 << 17
+#: Texts that are scored in one product. Their number shows in the last digits of a score.
+BATCH_ROWS = 1024
+#: A smaller number, and bytes of so many texts: a worker holds the arrays of these at a time.
+SMALL_BATCH_ROWS = 128
+SMALL_BATCH_BYTES = 1 << 17
 
 
-def _presence_parts(column: pa.Array, settings: Settings):
-    """Row ranges of a text column with their presence bits and letter counts."""
+def _presence_parts(column: pa.Array, settings: Settings, small: bool):
+    """Row ranges of a text column, `small` ones or larger, with their presence bits and letter counts."""
+    rows, size = (SMALL_BATCH_ROWS, SMALL_BATCH_BYTES) if small else (BATCH_ROWS, CHUNK_BYTES)
     data, offsets = text_buffer(column)
     if len(offsets) == 1:
         return
-    for begin, end in chunks(offsets, BATCH_BYTES):
-        for first in range(begin, end, BATCH_ROWS):
-            last = min(first + BATCH_ROWS, end)
+    for begin, end in chunks(offsets, size):
+        for first in range(begin, end, rows):
+            last = min(first + rows, end)
             part = data[offsets[first] : offsets[last]].tobytes()
             yield first, last, *presence(part, offsets[first : last + 1] - offsets[first], settings)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(
+    docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, small: bool = False
+) -> DataFrame:
     """`docs` (or its columns `keep`) with `lang_pred` and `score` (0 to 1: the margin of the best
     language, halved and shifted).
 
     A null or empty text, or one without letters, is `und` with score 0, and so is every
     text if the model knows no language. Ties go to the language that sorts first. Repeated
-    rows are predicted alike; input columns named like the two are replaced.
+    rows are predicted alike; input columns named like the two are replaced. With `small`, workers
+    score fewer texts at a time and take less memory.
     """
     # A table of landmarks by features, bounded by the settings.
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -222,7 +227,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
         known = shared.value
         names = np.array([*known.languages, UNDETERMINED], object)
         for batch in batches:
-            for first, last, present, letters in _presence_parts(batch.column(text), known.settings):
+            for first, last, present, letters in _presence_parts(batch.column(text), known.settings, small):
                 best = np.full(last - first, len(known.languages))
                 score = np.zeros(last - first)
                 if known.languages:
