@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from txloom.functions import predicates as P
 from txloom.functions import rowwise as R
+from txloom.functions import values as V
 from txloom.operators import attributes as A
 from txloom.operators import delivery as D
 from txloom.operators import dictionary as X
@@ -324,3 +325,23 @@ def test_result_table(tx_of):
     ]
     assert S.match_count(txs, P.attr_exists("p")).first().matches == 1
     assert [r.tx_id for r in D.height_range(txs, 20, 30).orderBy("tx_id").collect()] == [2, 3]
+
+
+def test_limits_on_computed_quantities_match_the_pattern_once(spark, tx_of):
+    maps = [{"a": ["15u", "x"], "b": ["3"]}, {"a": ["5u", "-0150u"], "b": ["7"]}, {"a": ["ibc/1"], "b": [None, "+4"]}]
+    attrs = A.index_attributes(A.explode_attributes(tx_of(*maps)))
+    conditions = {"rich": R.attr_gt("a", "9u"), "few": R.attr_le("b", 4)}
+    headers = spark.range(1, 4).withColumnRenamed("id", "tx_id")
+    found = M.tx_outer_flags(headers, attrs, conditions, F.col("rich") | F.col("few"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
+    assert sorted(r.tx_id for r in found.collect()) == [1, 3]
+
+
+def test_unit_follows_the_digits(spark):
+    long_unit, longest = "ibc/" + "AB12" * 16, "9" * 78
+    values = ["5", "-07u", "+3ibc/1", f"1{long_unit}", f"{longest}7", f"{longest}", "u5", "", "5U", "5factory/x é", "5factory/xé", None]
+    rows = spark.createDataFrame([(v,) for v in values], "value string").select("value", V.quantity_text("value").alias("t"))
+    rows = rows.select("t", V.unit_after("value", "t").alias("after"), V.quantity_unit("value").alias("unit")).collect()
+    assert [r.after for r in rows] == [r.unit for r in rows]
+    assert [r.t for r in rows][:6] == ["5", "-07", None, "1", longest, longest]
+    assert rows[4].unit == "7" and rows[3].unit == long_unit
