@@ -451,3 +451,14 @@ def test_copies_that_just_miss_a_link_make_no_pairs(spark, monkeypatch):
     found = minhash.near_duplicates(df, settings=minhash.Settings(shingle=3, percent=85, matches=36)).collect()
     assert {r.doc_id: r.component_id for r in found} == {i: find(i) for i in range(len(sets))}
     assert sum(made) <= 2 * links + 400, (made, links)
+
+
+def test_texts_are_not_shuffled_to_meet_the_hits(spark):
+    passage = " ".join(f"w{i}" for i in range(14))
+    docs = spark.createDataFrame([(1, passage), (1, "x y z"), (None, f"a {passage}"), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("i", passage)], "item_id string, text string")
+    found = decontaminate.overlaps(docs, items)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    rows = [(r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in found.collect()]
+    assert sorted(rows, key=str) == [(1, 14, 14, ["i"], True), (1, 3, 0, [], False), (2, 0, 0, [], False), (None, 15, 14, ["i"], True)]

@@ -233,7 +233,8 @@ def overlaps(
     named = windows.select("window", F.col("item").cast("string").alias("item")).distinct()
     items_of = found.select(key, "window").distinct().join(named, "window")
     items_of = items_of.groupBy(key).agg(F.array_sort(F.collect_set("item")).alias("items"))
-    hit = spans.select(key, _covered(F.col("spans")).cast("long").alias("n_hit")).join(items_of, key)
+    # Saved, so that Spark knows how small they are: texts are not shuffled to meet a few hits.
+    hit = saved(spans.select(key, _covered(F.col("spans")).cast("long").alias("n_hit")).join(items_of, key), "hits")
     none = F.expr("cast(array() as array<string>)")
     out = posted.drop(post_list).join(hit, key, "left")
     out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0))).withColumn("items", F.coalesce("items", none))
