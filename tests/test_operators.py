@@ -1,4 +1,5 @@
 import random
+import time
 from datetime import datetime
 
 import pytest
@@ -15,6 +16,7 @@ from txloom.operators import matching as M
 from txloom.operators import retention as E
 from txloom.operators import skew
 from txloom.plans import search as S
+from txloom.session import stored
 
 LOGS = "tx_id long, result struct<log:string>"
 
@@ -345,3 +347,50 @@ def test_unit_follows_the_digits(spark):
     assert [r.after for r in rows] == [r.unit for r in rows]
     assert [r.t for r in rows][:6] == ["5", "-07", None, "1", longest, longest]
     assert rows[4].unit == "7" and rows[3].unit == long_unit
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    counted = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    for _ in range(50):
+        left = _shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+    assert counted.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
+def test_value_dictionary_is_numbered_by_fingerprint(spark):
+    values = ["7uscrt", "b", "7uscrt", None, "", "x" * 9000, "-12", "é"]
+    attrs = spark.createDataFrame([(i, "p", v) for i, v in enumerate(values)], "tx_id long, path string, value string")
+    want = I.assign_ids_by_hash(X.value_keys(attrs), "value_hash", "value_id")
+    found = X.value_dictionary(attrs)
+    assert found.columns == want.columns
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+@pytest.mark.parametrize("hashed", [True, False])
+def test_facts_are_joined_by_a_short_key(spark, monkeypatch, hashed):
+    """Neither texts nor fingerprints are shuffled with the facts; null fingerprints meet none."""
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    attrs = spark.createDataFrame([(i, "p", f"v{i % 5}") for i in range(20)] + [(99, "p", None)], "tx_id long, path string, value string")
+    values = X.value_dictionary(attrs).unionByName(
+        spark.createDataFrame([(77,)], "value_id long"), allowMissingColumns=True
+    )
+    paths = spark.createDataFrame([(3, "p")], "path_id long, path_text string")
+    if hashed:
+        attrs = attrs.withColumn("value_hash", F.when(F.col("tx_id") != 6, V.value_fingerprint("value")))
+    found = X.encode_attributes(attrs, paths, values)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(value_hash" in line]
+    ids = {r.value_text: r.value_id for r in values.where("value_hash IS NOT NULL").collect()}
+    want = sorted((i, 3, ids[f"v{i % 5}"]) for i in range(20) if not (hashed and i == 6))
+    assert sorted(map(tuple, found.collect())) == want
